@@ -273,7 +273,7 @@ def _members(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = materialise(rows.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("node").alias("node"), F.count("*").alias("copies")))
     nodes = materialise(rows.filter(F.length("node") == 20).select("node").distinct())
     roots = components(_edges(nodes, nodes.count()))
-    alone = F.concat(F.lit(b"!"), F.col("k1").cast("binary"), F.col("k2").cast("binary"))
+    alone = F.concat(F.lit(b"!"), *[F.unhex(F.lpad(F.hex(k), 16, "0")) for k in ("k1", "k2")])
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node", alone)).drop("node")
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "k1", "k2")
     best = placed.groupBy("root").agg(F.min(order).alias("best"), F.sum("copies").alias("group_size"))
