@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docbraid.llm import packing, quality, secrets, simhash
+from docbraid.llm import packing, quality, repair, secrets, simhash, unigram
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.compress_corpus(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"))
 
 
+def op6_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_corpus(_read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -36,7 +44,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repair_grammar": op1_repair_grammar,
     "op3_quality_divergence": op3_quality_divergence,
+    "op6_unigram_pieces": op6_unigram_pieces,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_best_fit_packing": op9_best_fit_packing,

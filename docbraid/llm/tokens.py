@@ -1,27 +1,42 @@
 """Byte-pair token ids for whole Arrow batches.
 
-The vocabulary's own pre-tokeniser never joins what a space separates from a
-preceding non-space, so texts are cut there, each distinct piece is encoded
-once, and ids are gathered by index. Texts with runs of white space before a
-space take the plain way, one call a text. Both give the ids of
-Encoding.encode_ordinary.
+Texts are cut where the vocabulary's own pre-tokeniser is sure to cut them;
+pieces are told apart by a 64-bit hash of their code points, each distinct piece
+is encoded once, and ids are gathered by index. The ids are those of
+Encoding.encode_ordinary on the whole text.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from docbraid.llm import textkernel as tk
+
 #: Where the public vocabularies lie; a parameter of every operator that needs one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokeniser of that vocabulary, as published with it.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 _MOST_CACHED = 400_000
+_TABLE = 0x20000
+
+
+@functools.cache
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: a letter, white space, a random value; the last entry stands for all higher ones."""
+    points = [chr(i) for i in range(_TABLE)]
+    letter = np.array([unicodedata.category(c)[0] == "L" for c in points])
+    space = np.array([c.isspace() for c in points])
+    with np.errstate(over="ignore"):
+        value = tk.mix(np.arange(_TABLE, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    return letter, space, value
 
 
 class Encoder:
@@ -31,72 +46,61 @@ class Encoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[int, list[int]] = {}
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
+    def _gathered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct pieces' ids, their offsets, piece number of each place, places' offsets by text)."""
+        points, offsets = tk.code_points(texts)
+        n = len(points)
+        if not n:
+            return np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        is_letter, is_space, values = _kinds()
+        small = np.minimum(points, _TABLE - 1)
+        letter, space = is_letter[small], is_space[small]
+        # A place is a sure boundary before a space that follows no white space, after a run of
+        # letters, and between a single line feed and a letter. Beyond the table: no letters, no cuts.
+        cut = np.zeros(n, bool)
+        cut[1:] = ((points[1:] == 32) & ~space[:-1]) | (letter[:-1] & ~letter[1:] & (points[1:] < _TABLE))
+        fed = letter[2:] & (points[1:-1] == 10) & ~space[:-2]
+        begins = offsets[:-1][np.diff(offsets) > 0]
+        second = begins[(begins > 0) & (begins + 1 < n)] + 1
+        fed[second - 2] = False  # what precedes the line feed there is another text
+        cut[2:] |= fed
+        cut[begins] = True
+        first = np.flatnonzero(cut)
+        size = np.diff(np.append(first, n))
+        place = np.arange(n) - np.repeat(first, size)
+        with np.errstate(over="ignore"):
+            value = values[small]
+            high = points >= _TABLE
+            if high.any():
+                value[high] = tk.mix(points[high].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+            hashes = tk.mix(np.add.reduceat(value * tk._powers(int(size.max()))[place], first))
+        coded = pc.dictionary_encode(pa.array(hashes.view(np.int64)))
+        places = coded.indices.to_numpy().astype(np.int64)
+        known = coded.dictionary.to_pylist()
+        example = np.empty(len(known), np.int64)
+        example[places[::-1]] = np.arange(len(places))[::-1]
         if len(self.cache) > _MOST_CACHED:
             self.cache.clear()
-        cache, encode, out = self.cache, self.encoding.encode_ordinary, []
-        for x in pieces:
-            got = cache.get(x)
+        ids = [self.cache.get(h) for h in known]
+        for i, got in enumerate(ids):
             if got is None:
-                got = encode(x)
-                if len(x) < 64:
-                    cache[x] = got
-            out.append(got)
-        return out
-
-    def _gathered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct pieces' ids, their offsets, piece index of each place, places' offsets by text)."""
-        lists = pc.split_pattern(texts, " ")
-        starts = lists.offsets.to_numpy().astype(np.int64)
-        values = lists.values.slice(starts[0], starts[-1] - starts[0])
-        starts -= starts[0]
-        coded = pc.dictionary_encode(values)
-        codes = coded.indices.to_numpy().astype(np.int64)
-        spaced = np.ones(len(codes), np.int64)
-        spaced[starts[:-1][np.diff(starts) > 0]] = 0
-        keys, places = np.unique(codes * 2 + spaced, return_inverse=True)
-        known = coded.dictionary.to_pylist()
-        ids = self._ids([" " + known[k >> 1] if k & 1 else known[k >> 1] for k in keys.tolist()])
+                at = first[example[i]]
+                piece = points[at : at + size[example[i]]].tobytes().decode("utf-32-le", "surrogatepass")
+                ids[i] = self.cache[known[i]] = self.encoding.encode_ordinary(piece)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-        return flat, np.concatenate([[0], np.cumsum(sizes)]), places, starts
-
-    def _odd(self, texts: pa.Array) -> np.ndarray:
-        return pc.match_substring_regex(texts, r"[\s\pZ\x1c-\x1f\x85] ").to_numpy(zero_copy_only=False).astype(bool)
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        return flat, np.concatenate([[0], np.cumsum(sizes)]), places, np.searchsorted(first, offsets)
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text; 0 for null."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not len(texts):
-            return np.empty(0, np.int64)
-        odd = self._odd(texts)
-        out = np.zeros(len(texts), np.int64)
-        plain = np.flatnonzero(~odd)
-        if len(plain):
-            _, ends, places, starts = self._gathered(texts.take(pa.array(plain)))
-            total = np.concatenate([[0], np.cumsum(np.diff(ends)[places])])
-            out[plain] = np.diff(total[starts])
-        for i in np.flatnonzero(odd):
-            out[i] = len(self.encoding.encode_ordinary(texts[int(i)].as_py()))
-        return out
+        _, ends, places, starts = self._gathered(texts)
+        total = np.concatenate([[0], np.cumsum(np.diff(ends)[places])])
+        return np.diff(total[starts])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the n + 1 offsets of the texts in them; null has none."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = self._odd(texts) if len(texts) else np.empty(0, bool)
-        if odd.any() or not len(texts):
-            parts: list[np.ndarray] = []
-            for i, x in enumerate(odd):
-                if x:
-                    parts.append(np.array(self.encoding.encode_ordinary(texts[i].as_py()), np.int32))
-                elif not parts or i == 0 or odd[i - 1]:
-                    end = i + int(np.argmax(np.append(odd[i:], True)))
-                    got, ends = self.encode(texts.slice(i, end - i))
-                    parts.extend(np.split(got, ends[1:-1]))
-            sizes = np.array([len(x) for x in parts], np.int64)
-            return np.concatenate([np.empty(0, np.int32), *parts]), np.concatenate([[0], np.cumsum(sizes)])
         flat, ends, places, starts = self._gathered(texts)
         size = np.diff(ends)[places]
         total = np.concatenate([[0], np.cumsum(size)])
