@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docbraid.llm import packing, quality, repair, secrets, simhash, unigram
+from docbraid.llm import htmltext, packing, pii, quality, repair, secrets, simhash, telephony, unigram
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,10 +18,18 @@ def op1_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.compress_corpus(_read(spark, sf_dir, "documents"))
 
 
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.render_pages(_read(spark, sf_dir, "pages"))
+
+
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"))
+
+
 def op6_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode_corpus(_read(spark, sf_dir, "documents"))
 
@@ -37,6 +46,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio: the UTF-8 bytes of the documents are the payloads, the codecs taking turns by doc_id."""
+    codec = F.element_at(F.array(*map(F.lit, telephony.CODECS)), (F.pmod("doc_id", F.lit(len(telephony.CODECS))) + 1).cast("int"))
+    calls = _read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload"), codec.alias("codec"))
+    return telephony.decode_audio(calls, "doc_id", "payload", "codec").withColumnRenamed("call_id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -45,11 +61,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_grammar": op1_repair_grammar,
+    "op2_html_layout": op2_html_layout,
     "op3_quality_divergence": op3_quality_divergence,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_unigram_pieces": op6_unigram_pieces,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_telephony_audio": op10_telephony_audio,
     "pipeline": pipeline,
 }
 
