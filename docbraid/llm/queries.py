@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbraid.llm import htmltext, packing, pii, quality, repair, secrets, simhash, telephony, unigram
+from docbraid.llm import htmltext, packing, pii, quality, repair, secrets, simhash, telephony, transcripts, unigram
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"))
 
 
+def op4_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.parse_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_grammar": op1_repair_grammar,
     "op2_html_layout": op2_html_layout,
     "op3_quality_divergence": op3_quality_divergence,
+    "op4_transcript_roles": op4_transcript_roles,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_unigram_pieces": op6_unigram_pieces,
     "op7_simhash_dedup": op7_simhash_dedup,
