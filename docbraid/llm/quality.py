@@ -6,8 +6,8 @@ the same histograms summed over every document of that language. Prose stays
 close to its language; menus, symbol soup, shouting and repetition do not.
 
 The histograms are counted in Arrow batches (one pass over the text); the sums
-and the divergences are ordinary Spark expressions over about fifty integers a
-row, so no text is ever shuffled.
+are a Spark aggregation and the divergences take about fifty integers a row, so
+no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -73,35 +73,39 @@ def _histogram(text: Column, lang: Column) -> Column:
     return histogram(text, lang)
 
 
-def _divergence(mine: Column, reference: Column) -> Column:
-    """Jensen-Shannon divergence, base 2, of two count arrays; 0 if either is empty."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+def _jsd(mine: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence, base 2, row by row; 0 where either side is empty."""
+    sizes = mine.sum(axis=1), reference.sum(axis=1)
+    p, q = mine / np.maximum(sizes[0], 1)[:, None], reference / np.maximum(sizes[1], 1)[:, None]
+    m = (p + q) / 2
+    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0).sum(axis=1)
+    return np.where((sizes[0] > 0) & (sizes[1] > 0), (part(p) + part(q)) / 2, 0.0)
+
 
-    def term(p: Column, q: Column) -> Column:
-        m = (p + q) / 2
-        part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-        return (part(p) + part(q)) / 2
+def _divergence(mine: Column, reference: Column) -> Column:
+    @F.arrow_udf("struct<class_jsd:double,word_jsd:double,n_words:long>")
+    def divergence(mine: pa.Array, reference: pa.Array) -> pa.Array:
+        k, width = tk.N_CLASSES, tk.N_CLASSES + N_WORDS + 1
+        a, b = (x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for x in (mine, reference))
+        columns = [pa.array(_jsd(a[:, :k], b[:, :k])), pa.array(_jsd(a[:, k:], b[:, k:])), pa.array(a[:, k:].sum(axis=1))]
+        return pa.StructArray.from_arrays(columns, ["class_jsd", "word_jsd", "n_words"])
 
-    sizes = [total(mine), total(reference)]
-    sums = total(F.zip_with(mine, reference, lambda a, b: term(a / sizes[0], b / sizes[1])))
-    return F.when((sizes[0] > 0) & (sizes[1] > 0), sums).otherwise(F.lit(0.0))
+    return divergence(mine, reference)
 
 
 def _scored(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(row struct, n_words, class_jsd, word_jsd, rejected) for every row of docs."""
-    k, n = tk.N_CLASSES, N_WORDS + 1
     counted = docs.select(_histogram(F.col(text), F.col(lang)).alias("h"), F.col(lang).alias("l"), F.struct("*").alias("row"))
-    sums = F.array(*[F.sum(F.col("h")[i]) for i in range(k + n)])
+    sums = F.array(*[F.sum(F.col("h")[i]) for i in range(tk.N_CLASSES + N_WORDS + 1)])
     references = counted.groupBy("l").agg(sums.alias("ref")).withColumnRenamed("l", "rl")
     joined = counted.join(checked_broadcast(references, 1000), F.col("l").eqNullSafe(F.col("rl")), "left")
-    as_double = lambda c, start, size: F.transform(F.slice(c, start, size), lambda x: x.cast("double"))
-    n_words = F.aggregate(F.slice("h", k + 1, n), F.lit(0).cast("long"), lambda a, v: a + v)
     listed = F.col("l").isin(*COMMON_WORDS)
-    scored = joined.select(
+    compared = joined.select("row", "l", _divergence(F.col("h"), F.col("ref")).alias("d"))
+    scored = compared.select(
         "row",
-        n_words.alias("n_words"),
-        F.round(_divergence(as_double(F.col("h"), 1, k), as_double(F.col("ref"), 1, k)), 6).alias("class_jsd"),
-        F.round(F.when(listed, _divergence(as_double(F.col("h"), k + 1, n), as_double(F.col("ref"), k + 1, n))), 6).alias("word_jsd"),
+        F.col("d.n_words").alias("n_words"),
+        F.round("d.class_jsd", 6).alias("class_jsd"),
+        F.round(F.when(listed, F.col("d.word_jsd")), 6).alias("word_jsd"),
     )
     limit = lambda base, noise: F.lit(base) + F.lit(noise) / F.col("n_words")
     far = (F.col("class_jsd") > limit(CLASS_BASE, CLASS_NOISE)) | (F.coalesce("word_jsd", F.lit(0.0)) > limit(WORD_BASE, WORD_NOISE))
