@@ -8,6 +8,9 @@ and that looks random is a live credential.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,12 @@ PATTERN = (
     r"""([A-Za-z0-9_/+.\-]{16,})"""
     r"""|\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35})"""
 )
+#: Every match of PATTERN contains one of these.
+ANCHORS = (
+    *("oken", "OKEN", "ecret", "ECRET", "assword", "ASSWORD", "asswd"),
+    *(f"{a}{b}{c}" for a, k in (("pi", ("key", "Key")), ("PI", ("KEY",))) for b in ("_", "-", "") for c in k),
+    *("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza"),
+)
 #: Values that more owners hold are copied examples.
 MAX_OWNERS = 2
 #: A live-looking value has this many different characters, digits among them, and no word of PLACEHOLDER.
@@ -27,10 +36,14 @@ PLACEHOLDER = "example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234567|
 
 
 def candidates(text: Column) -> Column:
-    """Distinct candidate values of a text, sorted; empty for null."""
-    keyed = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1))
-    formed = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(2))
-    return F.coalesce(F.array_sort(F.array_distinct(F.filter(F.concat(keyed, formed), lambda x: x != ""))), F.array().cast("array<string>"))
+    """Distinct candidate values of a text, sorted; empty for null.
+
+    Only texts that hold an anchor, which every match contains, meet the expression.
+    """
+    possible = functools.reduce(operator.or_, [text.contains(a) for a in ANCHORS])
+    value = lambda m: F.concat(F.regexp_extract(m, PATTERN, 1), F.regexp_extract(m, PATTERN, 2))
+    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), value)))
+    return F.when(possible, found).otherwise(F.array().cast("array<string>"))
 
 
 def _looks_live(value: Column) -> Column:
