@@ -2,7 +2,8 @@
 
 A document's histogram of character classes and its histogram of the common
 words of its language are compared, by Jensen-Shannon divergence in bits, with
-the same histograms summed over every document of that language. Prose stays
+the mean of these histograms over every document of that language, each with the
+same weight, so that no long document makes the reference its own. Prose stays
 close to its language; menus, symbol soup, shouting and repetition do not.
 
 The histograms are counted in Arrow batches (one pass over the text); the sums
@@ -27,6 +28,8 @@ COMMON_WORDS: dict[str, tuple[str, ...]] = {
     "es": tuple("de la que el en y los se del las un por con no su una para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son donde".split()),
 }
 N_WORDS = 40
+#: A document counts in its language's reference by its shares, in so many parts, whatever its length.
+PARTS = 1_000_000
 #: Documents of fewer words are kept: a short sample diverges by chance alone.
 MIN_WORDS = 40
 #: Limits are base + noise / n_words: the chance divergence of n draws falls as 1 / n.
@@ -96,8 +99,11 @@ def _divergence(mine: Column, reference: Column) -> Column:
 def _scored(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(row struct, n_words, class_jsd, word_jsd, rejected) for every row of docs."""
     counted = docs.select(_histogram(F.col(text), F.col(lang)).alias("h"), F.col(lang).alias("l"), F.struct("*").alias("row"))
-    sums = F.array(*[F.sum(F.col("h")[i]) for i in range(tk.N_CLASSES + N_WORDS + 1)])
-    references = counted.groupBy("l").agg(sums.alias("ref")).withColumnRenamed("l", "rl")
+    k, n = tk.N_CLASSES, tk.N_CLASSES + N_WORDS + 1
+    total = lambda low, high: F.aggregate(F.slice("h", low + 1, high - low), F.lit(0).cast("long"), lambda a, v: a + v)
+    sized = counted.select("l", "h", total(0, k).alias("chars"), total(k, n).alias("words"))
+    shares = [F.coalesce(F.sum(F.expr(f"h[{i}] * {PARTS} div nullif({'chars' if i < k else 'words'}, 0)")), F.lit(0).cast("long")) for i in range(n)]
+    references = sized.groupBy("l").agg(F.array(*shares).alias("ref")).withColumnRenamed("l", "rl")
     joined = counted.join(checked_broadcast(references, 1000), F.col("l").eqNullSafe(F.col("rl")), "left")
     listed = F.col("l").isin(*COMMON_WORDS)
     compared = joined.select("row", "l", _divergence(F.col("h"), F.col("ref")).alias("d"))
@@ -146,7 +152,7 @@ def _oracle() -> str:
 WITH raw AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
 counted AS (SELECT r, lang, length(text) AS total, {', '.join(f'{e} AS c{i}' for i, e in enumerate(classes))} FROM raw),
 classes AS (SELECT r, lang, unnest([{', '.join(names[:8])}, total - {' - '.join(names[:8])}]) AS v, unnest(range(9)) AS place FROM counted),
-class_ref AS (SELECT lang, place, sum(v) AS v FROM classes GROUP BY ALL),
+class_ref AS (SELECT lang, place, coalesce(sum(v * {PARTS} // nullif(t, 0)), 0) AS v FROM (SELECT *, sum(v) OVER (PARTITION BY r) AS t FROM classes) GROUP BY ALL),
 class_share AS (SELECT c.r, c.v / nullif(sum(c.v) OVER (PARTITION BY c.r), 0) AS p, f.v / nullif(sum(f.v) OVER (PARTITION BY c.r), 0) AS q
   FROM classes c JOIN class_ref f ON c.place = f.place AND c.lang IS NOT DISTINCT FROM f.lang),
 class_jsd AS (SELECT r, coalesce(sum({jsd('p', 'q')}), 0) AS j FROM class_share GROUP BY r),
@@ -154,8 +160,8 @@ lists AS ({lists}),
 said AS (SELECT r, lang, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS word FROM raw),
 placed AS (SELECT said.r, said.lang, coalesce(lists.place, {N_WORDS}) AS place FROM said LEFT JOIN lists ON lists.l = said.lang AND lists.word = said.word),
 mine AS (SELECT r, place, count(*) AS v FROM placed GROUP BY ALL),
-word_ref AS (SELECT lang, place, count(*) AS v FROM placed GROUP BY ALL),
 n AS (SELECT raw.r, raw.doc_id, raw.lang, coalesce(sum(mine.v), 0)::BIGINT AS n_words FROM raw LEFT JOIN mine USING (r) GROUP BY ALL),
+word_ref AS (SELECT n.lang, mine.place, sum(mine.v * {PARTS} // n.n_words) AS v FROM mine JOIN n USING (r) GROUP BY ALL),
 word_share AS (SELECT n.r, coalesce(mine.v, 0) / n.n_words AS p, f.v / sum(f.v) OVER (PARTITION BY n.r) AS q
   FROM n JOIN word_ref f ON n.lang IS NOT DISTINCT FROM f.lang LEFT JOIN mine ON mine.r = n.r AND mine.place = f.place WHERE n.n_words > 0),
 word_jsd AS (SELECT r, sum({jsd('p', 'q')}) AS j FROM word_share GROUP BY r),

@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, group_id, group_size, copies, kept) for every distinct (doc_id, text) of docs.
 
     group_id is the least doc_id of the group and belongs to the row that stays
-    (nulls last; equal ids are told apart by a hash). group_size counts rows of
+    (nulls last; equal ids are told apart by a hash). A pair that repeats in a text
+    counts once, so a text and its repetition are copies. group_size counts rows of
     docs, copies how often this very row occurs: fully repeated rows are one row
     here. A null text is never a copy of anything; empty texts and texts without
     any word are copies only of equal texts. Very long texts are read whole.
