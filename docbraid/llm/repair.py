@@ -49,15 +49,9 @@ class Grammar:
     length: np.ndarray
 
 
-def _positions_by_pair(seq: np.ndarray, at: np.ndarray | None, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions (all but skip, or those in at) sorted by the pair there, the starts of the pairs' runs and their sizes."""
-    if at is None:
-        key, at = seq[:-1] << _SYMBOL_BITS | seq[1:], np.arange(len(seq) - 1)
-    else:
-        key = seq[at] << _SYMBOL_BITS | seq[at + 1]
-    none = 0 if skip is None else len(skip)
-    if none:
-        key[skip] = (1 << 2 * _SYMBOL_BITS) - 1
+def _positions_by_pair(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The positions at sorted by the pair there, the starts of the pairs' runs and their sizes."""
+    key = seq[at] << _SYMBOL_BITS | seq[at + 1]
     if len(seq) < 1 << _SYMBOL_BITS:
         packed = key << _SYMBOL_BITS
         packed |= at
@@ -66,7 +60,6 @@ def _positions_by_pair(seq: np.ndarray, at: np.ndarray | None, skip: np.ndarray
     else:
         order = np.argsort(key, kind="stable")
         pair, place = key[order], at[order]
-    pair, place = pair[: len(pair) - none], place[: len(place) - none]
     start = np.flatnonzero(pair[1:] != pair[:-1]) + 1
     start = np.concatenate([[0], start]) if len(pair) else start
     return place, start, np.diff(np.append(start, len(pair)))
@@ -78,22 +71,32 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     following = first_rule
+    # Replacing only ever lowers the count of a pair that exists, so a pair once too rare stays so:
+    # later rounds count the pairs still frequent and those that a new symbol made.
+    live = np.ones(len(seq), bool)
+    live[ends[ends > 0] - 1] = False
     while len(seq) > 1:
-        last = np.unique(ends[(ends > 0) & (ends < len(seq))]) - 1
-        place, start, size = _positions_by_pair(seq, None, last)
+        place, start, size = _positions_by_pair(seq, np.flatnonzero(live))
         often = size >= min_count
         if not often.any():
             break
         place, size = place[np.repeat(often, size)], size[often]
+        live[:] = False
+        live[place] = True
         # Frequency first; a hash makes equally frequent pairs agree on one order everywhere.
         heads = np.cumsum(size) - size
         pair_hash = (tk.mix((seq[place[heads]] << _SYMBOL_BITS | seq[place[heads] + 1]).view(np.uint64)) >> np.uint64(24)).view(np.int64)
         rank = np.zeros(len(seq) + 1, np.int64)
         rank[place] = np.repeat(np.minimum(size, (1 << 22) - 1) << 40 | pair_hash, size)
         take = rank[:-1] > 0
-        take[1:] &= rank[1:-1] > rank[:-2]
+        take[1:] &= rank[1:-1] >= rank[:-2]
         take &= rank[:-1] >= rank[1:]
         took = np.flatnonzero(take)
+        # Neighbours that are both left are one pair over itself (a a a a): every other one is taken.
+        fresh = np.ones(len(took), bool)
+        fresh[1:] = took[1:] != took[:-1] + 1
+        run = np.flatnonzero(fresh)
+        took = took[(np.arange(len(took)) - np.repeat(run, np.diff(np.append(run, len(took))))) % 2 == 0]
         place, start, size = _positions_by_pair(seq, took)
         often = size >= min_count
         room = (1 << _SYMBOL_BITS) - 1 - following
@@ -111,7 +114,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int
         keep = np.ones(len(seq), bool)
         keep[place + 1] = False
         before = np.concatenate([[0], np.cumsum(keep)])
-        seq, ends = seq[keep], before[ends]
+        seq, ends, live = seq[keep], before[ends], live[keep]
+        made = before[place]
+        live[made] = True
+        live[np.maximum(made - 1, 0)] = True
+        live[ends[ends > 0] - 1] = False
         if len(place) < min_gain * len(seq):
             break
     a = np.concatenate([np.empty(0, np.int64), *left])
