@@ -187,8 +187,9 @@ def mock_translate(text: Column, lang: str, keep: dict[str, str] | None = None,
     def word(tok: Column) -> Column:
         size = F.greatest(F.lit(2), F.least(F.lit(8), F.length(F.regexp_replace(tok, r"[^\p{L}]", ""))))
         h = F.aggregate(F.split(tok, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise((a * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF))))
-        at = lambda i: F.element_at(letters, (F.pmod(h + 7 * i, F.lit(24)) + 1).cast("int"))
-        made = F.array_join(F.transform(F.sequence(F.lit(0), size - 1), at), "")
+        at = lambda x, i: F.element_at(letters, (F.pmod(x + 7 * i, F.lit(24)) + 1).cast("int"))
+        # An array of one binds the hash, which would else be folded again for every letter.
+        made = F.transform(F.array(h), lambda x: F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: at(x, i)), ""))[0]
         bare = F.regexp_replace(F.lower(tok), r"[^\p{L}\p{N}]", "")
         out = F.when(tok.rlike(r"^\s+\z") | (bare == "") | tok.rlike(r"[0-9]"), tok)
         if verbatim:

@@ -51,7 +51,7 @@ def text_blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     raw = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), "\r", "\n")
     blocks = F.flatten(F.transform(F.split(raw, "\n{2,}"), _group))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(blocks).alias("ord", "b"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(blocks).alias("ord", "b")).filter("ord IS NOT NULL")
     return rows.select("doc_id", "ord", F.concat(F.lit("b"), "ord").alias("block_id"), "b.type", "b.level", "b.text", F.lit(1).alias("page"))
 
 
@@ -119,7 +119,7 @@ def chunk_blocks(blocks: DataFrame, max_chars: int = 1800, context_chars: int =
     alone = lambda text: F.array(F.struct(F.array(first["block_id"]).alias("ids"), text.alias("text")))
     cut = F.transform(sentence_pieces(first["bare"], max_chars), lambda p: F.struct(F.array(first["block_id"]).alias("ids"), p.alias("text")))
     pieces = F.when(first["tab"], alone(trimmed(first["cells"]))).when(first["big"], cut).otherwise(whole)
-    rows = segments.select("doc_id", "segment", "chapter_index", "section_title", F.posexplode(pieces).alias("k", "c")).filter("c.text <> ''")
+    rows = segments.select("doc_id", "segment", "chapter_index", "section_title", F.posexplode_outer(pieces).alias("k", "c")).filter("c.text <> ''")
     in_order = Window.partitionBy("doc_id").orderBy("segment", "k")
     rows = rows.select("doc_id", (F.row_number().over(in_order) - 1).alias("chunk_index"), "chapter_index", "section_title", F.col("c.ids").alias("block_ids"), F.col("c.text").alias("source_text"))
     return previous_context(rows, "doc_id", "chunk_index", "source_text", context_chars)

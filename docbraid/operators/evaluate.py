@@ -10,7 +10,8 @@ from docbraid.functions.text import has_indic, leak_kind, length_divergence, lon
 
 def leak_scan(rows: DataFrame, text: str = "translated", min_words: int = 3, target: str | None = None) -> DataFrame:
     """(doc_id, idx, kind, run, preview) of the rows that leak."""
-    scanned = rows.select("doc_id", "idx", leak_kind(F.col(text), min_words, target).alias("kind"), longest_english_run(F.col(text)).alias("run"), preview(F.col(text)).alias("preview"))
+    found = F.struct(leak_kind(F.col(text), min_words, target).alias("kind"), longest_english_run(F.col(text)).alias("run"), preview(F.col(text)).alias("preview"))
+    scanned = rows.select("doc_id", "idx", F.inline_outer(F.array(found)))  # no filter passes a generator, so nothing is computed twice
     return scanned.filter("kind IS NOT NULL")
 
 

@@ -59,7 +59,7 @@ def flags(rows: DataFrame, target: str, verbatim: tuple[str, ...] = ()) -> DataF
         flag(F.size(lost) > 0, "number_mismatch", "ERROR", F.array_join(lost, ", ")),
         flag(F.size(marks) > 0, "citation_mismatch", "WARNING", F.array_join(marks, ", ")),
     )
-    return rows.select("doc_id", "idx", F.inline(F.filter(found, lambda x: x.isNotNull())))
+    return rows.select("doc_id", "idx", F.inline_outer(F.filter(found, lambda x: x.isNotNull()))).filter("type IS NOT NULL")
 
 
 def glossary_violations(relevant: DataFrame, rows: DataFrame) -> DataFrame:

@@ -79,14 +79,14 @@ def run_chain(rows: DataFrame, engines: list[Engine]) -> DataFrame:
 
 def engine_runs(routed: DataFrame) -> DataFrame:
     """One row for each attempt."""
-    rows = routed.select("doc_id", "idx", F.posexplode("attempts").alias("attempt", "a"))
+    rows = routed.select("doc_id", "idx", F.posexplode_outer("attempts").alias("attempt", "a")).filter("attempt IS NOT NULL")
     return rows.select("doc_id", "idx", "attempt", "a.engine", "a.success", F.col("a.cost").alias("cost_micro_usd"), F.col("a.error").alias("error"))
 
 
 def compared(rows: DataFrame, engines: list[Engine]) -> DataFrame:
     """Every enabled engine's output for every row; failures are left out."""
     items = [F.struct(F.lit(e.kind).alias("engine"), e.translate.alias("output")) for e in engines if e.enabled]
-    return rows.select("doc_id", "idx", F.inline(F.array(*items))).filter("output IS NOT NULL AND trim(output) <> ''")
+    return rows.select("doc_id", "idx", F.inline_outer(F.array(*items))).filter("output IS NOT NULL AND trim(output) <> ''")
 
 
 def llm_cost(tokens_in: Column, tokens_out: Column) -> Column:

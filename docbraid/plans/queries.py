@@ -135,7 +135,7 @@ _BUDGET = """list_reduce(list_transform(l, lambda s, i: {'n': i - 1, 'chars': le
 @query("budget_batches", f"SELECT doc_id, unnest(range(len(o)))::INTEGER AS idx, unnest(o)::INTEGER AS batch_start FROM (SELECT doc_id, {_BUDGET} AS o FROM (SELECT doc_id, {sql.pieces('text', 120)} AS l FROM documents))")
 def budget_batches(spark, d):
     starts = split.budget_batches(split.sentence_pieces(F.col("text"), 120))
-    return docs(spark, d).select("doc_id", F.posexplode(starts).alias("idx", "batch_start"))
+    return docs(spark, d).select("doc_id", F.posexplode_outer(starts).alias("idx", "batch_start")).filter("idx IS NOT NULL")
 
 
 @query("fixed_batches", f"SELECT doc_id, (idx // 6)::BIGINT AS batch, ((idx // 6) % 2)::BIGINT AS provider, count(*) AS n FROM ({UNITS}) GROUP BY ALL")
