@@ -6,9 +6,8 @@ the mean of these histograms over every document of that language, each with the
 same weight, so that no long document makes the reference its own. Prose stays
 close to its language; menus, symbol soup, shouting and repetition do not.
 
-The histograms are counted in Arrow batches (one pass over the text); the sums
-are a Spark aggregation and the divergences take about fifty integers a row, so
-no text is ever shuffled.
+The histograms are counted in Arrow batches, once for the reference and once for
+the scores; the sums are a Spark aggregation, so no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -85,28 +84,29 @@ def _jsd(mine: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where((sizes[0] > 0) & (sizes[1] > 0), (part(p) + part(q)) / 2, 0.0)
 
 
-def _divergence(mine: Column, reference: Column) -> Column:
+def _scores(text: Column, lang: Column, reference: Column) -> Column:
     @F.arrow_udf("struct<class_jsd:double,word_jsd:double,n_words:long>")
-    def divergence(mine: pa.Array, reference: pa.Array) -> pa.Array:
+    def scores(texts: pa.Array, langs: pa.Array, references: pa.Array) -> pa.Array:
         k, width = tk.N_CLASSES, tk.N_CLASSES + N_WORDS + 1
-        a, b = (x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for x in (mine, reference))
+        a, b = (x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for x in (_histograms(texts, langs), references))
         columns = [pa.array(_jsd(a[:, :k], b[:, :k])), pa.array(_jsd(a[:, k:], b[:, k:])), pa.array(a[:, k:].sum(axis=1))]
         return pa.StructArray.from_arrays(columns, ["class_jsd", "word_jsd", "n_words"])
 
-    return divergence(mine, reference)
+    return scores(text, lang, reference)
 
 
 def _scored(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(row struct, n_words, class_jsd, word_jsd, rejected) for every row of docs."""
-    counted = docs.select(_histogram(F.col(text), F.col(lang)).alias("h"), F.col(lang).alias("l"), F.struct("*").alias("row"))
+    counted = docs.select(_histogram(F.col(text), F.col(lang)).alias("h"), F.col(lang).alias("l"))
     k, n = tk.N_CLASSES, tk.N_CLASSES + N_WORDS + 1
     total = lambda low, high: F.aggregate(F.slice("h", low + 1, high - low), F.lit(0).cast("long"), lambda a, v: a + v)
     sized = counted.select("l", "h", total(0, k).alias("chars"), total(k, n).alias("words"))
     shares = [F.coalesce(F.sum(F.expr(f"h[{i}] * {PARTS} div nullif({'chars' if i < k else 'words'}, 0)")), F.lit(0).cast("long")) for i in range(n)]
     references = sized.groupBy("l").agg(F.array(*shares).alias("ref")).withColumnRenamed("l", "rl")
-    joined = counted.join(checked_broadcast(references, 1000), F.col("l").eqNullSafe(F.col("rl")), "left")
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.struct("*").alias("row"))
+    joined = rows.join(checked_broadcast(references, 1000), F.col("l").eqNullSafe(F.col("rl")), "left")
     listed = F.col("l").isin(*COMMON_WORDS)
-    compared = joined.select("row", "l", _divergence(F.col("h"), F.col("ref")).alias("d"))
+    compared = joined.select("row", "l", _scores(F.col("t"), F.col("l"), F.col("ref")).alias("d"))
     scored = compared.select(
         "row",
         F.col("d.n_words").alias("n_words"),
