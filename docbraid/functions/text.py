@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +31,7 @@ SCRIPT_LABELS = (("hi/mr", 0x900), ("bn/as", 0x980), ("pa", 0xA00), ("gu", 0xA80
 #: Not counted by script_ratio: controls, ASCII below A, white space, general punctuation.
 SKIPPED = r"[\x{0}-\x{40}\x{A0}\x{1680}\x{2000}-\x{206F}\x{3000}\x{FEFF}]"
 URL = r"https?://\S+|www\.\S+|\S+@\S+\.\S+"
+_TOKEN = re.compile(r"\S+")
 WORD = r"[A-Za-z][A-Za-z\-']{1,}"
 
 
@@ -175,27 +180,39 @@ def page_numbers(spec: Column, n: Column) -> Column:
     return F.when(F.coalesce(spec, F.lit("")) == "", every).otherwise(F.filter(chosen, lambda p: (p >= 0) & (p < n)))
 
 
+def _mock_word(tok: str, base: int, keep: dict[str, str], verbatim: frozenset[str]) -> str:
+    bare = "".join(c for c in tok.lower() if c.isalnum())
+    if not bare or any("0" <= c <= "9" for c in tok) or bare in verbatim:
+        return tok
+    if bare in keep:
+        return keep[bare]
+    h = 0
+    for unit in array("H", tok.encode("utf-16-le", "surrogatepass")):
+        h = (31 * h + unit) & 0xFFFFFFFF
+    size = max(2, min(8, sum(c.isalpha() for c in tok)))
+    return "".join(chr(base + (h + 7 * i) % 24) for i in range(size))
+
+
 def mock_translate(text: Column, lang: str, keep: dict[str, str] | None = None, verbatim: tuple[str, ...] = ()) -> Column:
     """Deterministic pseudo-translation: white space, punctuation and numbers stay, words become words of the script.
 
-    keep maps lower-case words to their fixed renderings; verbatim words stay.
+    keep maps lower-case words to their fixed renderings; verbatim words stay. It
+    is an engine call, so it runs in Arrow batches; a worker makes each distinct
+    word once. Null stays null and costs nothing.
     """
     base = LANGUAGES[lang][2][0][0] + 0x20 if lang in LANGUAGES else 0x920
-    letters = F.array(*[F.lit(chr(base + i)) for i in range(24)])
-    fixed = F.create_map(*[F.lit(x) for pair in keep.items() for x in pair]) if keep else None
-
-    def word(tok: Column) -> Column:
-        size = F.greatest(F.lit(2), F.least(F.lit(8), F.length(F.regexp_replace(tok, r"[^\p{L}]", ""))))
-        h = F.aggregate(F.split(tok, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise((a * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF))))
-        at = lambda x, i: F.element_at(letters, (F.pmod(x + 7 * i, F.lit(24)) + 1).cast("int"))
-        # An array of one binds the hash, which would else be folded again for every letter.
-        made = F.transform(F.array(h), lambda x: F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: at(x, i)), ""))[0]
-        bare = F.regexp_replace(F.lower(tok), r"[^\p{L}\p{N}]", "")
-        out = F.when(tok.rlike(r"^\s+\z") | (bare == "") | tok.rlike(r"[0-9]"), tok)
-        if verbatim:
-            out = out.when(bare.isin(*[v.lower() for v in verbatim]), tok)
-        if fixed is not None:
-            out = out.when(F.map_contains_key(fixed, bare), F.try_element_at(fixed, bare))
-        return out.otherwise(made)
-
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\s+|\S+"), F.lit(0)), word), "")
+    fixed, stays = dict(keep or {}), frozenset(v.lower() for v in verbatim)
+
+    @F.arrow_udf("string")
+    def said(texts: pa.Array) -> pa.Array:
+        known: dict[str, str] = {}
+
+        def word(m: re.Match) -> str:
+            tok = m[0]
+            if tok not in known:
+                known[tok] = _mock_word(tok, base, fixed, stays)
+            return known[tok]
+
+        return pa.array([None if t is None else _TOKEN.sub(word, t) for t in texts.to_pylist()], pa.string())
+
+    return said(text)

@@ -34,7 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """Documents; a table of fewer splits than the session has cores is first spread over them by document.
+
+    The small tables are one row group, which one task would read and work on
+    alone. Large ones have splits enough and are not shuffled.
+    """
+    rows, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores, "doc_id")
 
 
 def doubled(spark: SparkSession, sf_dir: str) -> DataFrame:

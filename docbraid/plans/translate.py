@@ -15,11 +15,12 @@ def demo_engines(lang: str, source: Column | None = None) -> list[Engine]:
     """Three engines that need no network: one fails by rule, one is empty by rule, the last is certain except for every seventh row."""
     s = F.col("source") if source is None else source
     spot = F.col("doc_id") + F.col("idx")
-    said = mock_translate(s, lang)
+    # Python runs whatever a CASE says, so the rows an engine does not serve are null before they reach it.
+    said = lambda served: mock_translate(F.when(served, s), lang)
     return [
-        Engine("INDICTRANS2", F.when(F.pmod(spot, F.lit(3)) == 1, said), F.lit(0)),
-        Engine("AMAZON_TRANSLATE", F.when(F.pmod(spot, F.lit(3)) == 2, said).when(F.pmod(spot, F.lit(2)) == 0, F.lit(" ")), amazon_cost(s)),
-        Engine("MOCK", F.when(F.pmod(spot, F.lit(7)) != 0, said), F.lit(0)),
+        Engine("INDICTRANS2", said(F.pmod(spot, F.lit(3)) == 1), F.lit(0)),
+        Engine("AMAZON_TRANSLATE", F.coalesce(said(F.pmod(spot, F.lit(3)) == 2), F.when(F.pmod(spot, F.lit(2)) == 0, F.lit(" "))), amazon_cost(s)),
+        Engine("MOCK", said(F.pmod(spot, F.lit(7)) != 0), F.lit(0)),
     ]
 
 
