@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,12 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one is made and set."""
+    """The folder in spark.checkpoint.dir; where that is unset, one is made and set, in local mode only."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         old = sc._jsc.sc().getCheckpointDir()
         found = old.get() if old.isDefined() else tempfile.mkdtemp(prefix="docbraid-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -55,6 +59,17 @@ def row_key(id_col: Column, text_col: Column) -> list[Column]:
     return [F.xxhash64(id_col, text_col, mark), F.xxhash64(F.lit(7919), mark, text_col, id_col)]
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system: workers live as long as the executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(array: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 8192) -> Iterator[pa.Array]:
     """Consecutive parts of a string array of bounded size; a longer text is a part of its own."""
     if not len(array):
@@ -67,6 +82,7 @@ def slices(array: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 8192) ->
         end = min(max(end, at + 1), at + most_rows, len(array))
         yield array.slice(at, end - at)
         at = end
+    release()
 
 
 def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -143,7 +143,7 @@ def _intervals(plan: Plan) -> list[tuple[int, int, int, int, int]]:
 def _pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, capacity: int) -> DataFrame:
     @F.arrow_udf("long")
     def n_tokens(texts: pa.Array) -> pa.Array:
-        parts = [encoder(vocabulary).lengths(x) for x in slices(texts, 4 << 20, 1 << 16)]
+        parts = [encoder(vocabulary).lengths(x) for x in slices(texts, 1 << 20, 1 << 16)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))
 
     k1, k2 = row_key(F.col(doc_id), F.col(text))

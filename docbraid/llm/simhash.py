@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docbraid.llm import textkernel as tk
-from docbraid.llm.common import checked_broadcast, materialise, row_key, slices
+from docbraid.llm.common import checked_broadcast, materialise, release, row_key, slices
 
 BITS, RADIUS, MIN_RATIO, RECALL = 128, 26, 0.66, 0.9
 #: Signatures that a bucket should hold.
@@ -221,6 +221,7 @@ def _edges(nodes: DataFrame, n: int) -> DataFrame:
         root = forest(len(raw), fitting())
         own = np.flatnonzero(root != np.arange(len(raw)))
         items = lambda rows: pa.array([x.tobytes() for x in rows], pa.binary())
+        release()
         return pa.table({"a": items(raw[own]), "b": items(raw[root[own]])})
 
     buckets = nodes.mapInArrow(spread, "bucket long, node binary")
