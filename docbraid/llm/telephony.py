@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docbraid.llm.common import release
+
 RATE_IN, RATE_OUT = 8000, 16000
 #: Bytes of an ADPCM block: predictor (2), step index (1), reserve (1), then two samples a byte.
 BLOCK = 256
@@ -153,6 +155,7 @@ def decode_audio(calls: DataFrame, call_id: str, payload: str, codec: str) -> Da
                 pcm, counts = decode_batch(part.column("payload"), codecs)
                 rate = pa.array(np.full(len(codecs), RATE_OUT, np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("call_id"), part.column("codec"), rate, pa.array(counts), pcm], ["call_id", "codec", "sample_rate", "n_samples", "pcm"])
+            release()
 
     rows = calls.select(F.col(call_id).cast("long").alias("call_id"), F.col(payload).cast("binary").alias("payload"), F.col(codec).alias("codec"))
     return rows.mapInArrow(run, "call_id long, codec string, sample_rate int, n_samples long, pcm binary")
