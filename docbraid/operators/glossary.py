@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,11 +10,18 @@ from pyspark.sql.window import Window
 SMALL = 50_000
 
 
+def _windows(text: Column, n: int) -> Column:
+    """The distinct runs of n letters of a text; none if it is shorter."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.array_distinct(runs) if n else F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+
+
 def relevant_terms(rows: DataFrame, terms: DataFrame, text: str = "source") -> DataFrame:
     """(doc_id, idx, source_term, target_term) for every term that occurs in a text, letter case aside.
 
     Containment is no equality, so the terms, counted first, are broadcast to a
-    nested loop; beyond SMALL terms the join runs by three-letter grams.
+    nested loop; beyond SMALL terms the join runs by grams of a term's first three
+    letters, or of the whole term where it is shorter. Both find the same rows.
     """
     t = terms.select(F.col("source").alias("source_term"), F.col("target").alias("target_term"))
     keyed = rows.select("doc_id", "idx", F.lower(text).alias("low"))
@@ -22,9 +29,10 @@ def relevant_terms(rows: DataFrame, terms: DataFrame, text: str = "source") -> D
     if t.limit(SMALL + 1).count() <= SMALL:
         found = keyed.join(F.broadcast(t), inside)
     else:
-        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
-        probes = keyed.withColumn("gram", F.explode(grams(F.col("low"))))
-        found = probes.join(t.withColumn("gram", F.left(F.lower("source_term"), F.lit(3))), "gram").filter(inside)
+        t = t.withColumn("gram", F.left(F.lower("source_term"), F.lit(3)))
+        sizes = sorted(r[0] for r in t.select(F.length("gram")).distinct().collect() if r[0] is not None)
+        probes = keyed.withColumn("gram", F.explode(F.concat(*[_windows(F.col("low"), n) for n in sizes or [3]])))
+        found = probes.join(t, "gram").filter(inside)
     return found.select("doc_id", "idx", "source_term", "target_term")
 
 

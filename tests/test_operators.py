@@ -224,6 +224,18 @@ def test_large_glossaries_join_by_grams(spark, monkeypatch):
     assert {"right to information", "act"} <= {r.source_term for r in glossary.relevant_terms(rows, terms).collect()}
 
 
+def test_both_glossary_joins_find_the_same_terms(spark, monkeypatch):
+    texts = ["The EU and AI to come", "to", "a", "", None, "İstanbul AB", "abcabc"]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, idx int, source string")
+    words = ["AI", "eu", "to", "A", "ab", "İ", "abc", "come", "abcd", "zz", "", None]
+    terms = spark.createDataFrame([(w, f"t{i}") for i, w in enumerate(words)], "source string, target string")
+    found = lambda t: sorted(tuple(r) for r in glossary.relevant_terms(rows, t).collect())
+    picked = [terms, terms.filter("length(source) > 2"), terms.filter("length(source) < 3")]
+    small = [found(t) for t in picked]
+    monkeypatch.setattr(glossary, "SMALL", 0)
+    assert (0, 0, "AI", "t0") in small[0] and small == [found(t) for t in picked]
+
+
 def test_memory(spark):
     seg = spark.createDataFrame([(1, "hello", "hi"), (2, "bye", "hi")], "doc_id long, source string, lang string")
     mem = spark.createDataFrame([(1, "hello", "hi", "A", 9, False), (2, "hello", "hi", "B", 1, True)], "entry_id long, s string, target_language string, target_text string, quality int, approved boolean").withColumn("source_hash", F.sha2("s", 256))
