@@ -1,11 +1,16 @@
-"""Translation memory: exact reuse by hash, fuzzy reuse by shared words and edit distance."""
+"""Translation memory: exact reuse by hash, fuzzy reuse by length and edit distance."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Texts of either side that one block of pairs holds at most, on average.
+BLOCK = 4096
+
 
 def exact(segments: DataFrame, memory: DataFrame) -> DataFrame:
     """Adds target_text, hit to segments (source, lang): approved entries first, then quality, then id."""
@@ -17,17 +22,28 @@ def exact(segments: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def fuzzy(segments: DataFrame, memory: DataFrame, least: float = 0.7) -> DataFrame:
-    """(seg_id, entry_id, similarity): pairs whose edit similarity is at least least.
+    """(seg_id, entry_id, similarity): all pairs whose edit similarity is at least least.
 
-    Candidates share a run of three words, so no pair is compared without cause.
+    An edit changes a length by one at most, so the shorter text of a pair has at
+    least that share of the longer one's length: texts meet in classes of length
+    whose width is that ratio, their own and the two beside it. Every pair that the
+    lengths allow is compared, up to the edits it may have; blocks spread a class.
     """
-    def grams(c: str):  # noqa: ANN202
-        w = F.split(F.lower(c), r"\s+")
-        n = F.greatest(F.lit(1), F.size(w) - 2)
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " ")))
-
-    a = segments.select("seg_id", F.col("text").alias("a"), F.explode(grams("text")).alias("g"))
-    b = memory.select("entry_id", F.col("text").alias("b"), F.explode(grams("text")).alias("g"))
-    pairs = a.join(b, "g").select("seg_id", "entry_id", "a", "b").distinct()
-    similarity = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1))
-    return pairs.select("seg_id", "entry_id", F.round(similarity, 6).alias("similarity")).filter(F.col("similarity") >= least)
+    slack = 1e-6  # the similarity counts as rounded to six places
+    a = segments.select("seg_id", F.col("text").alias("a")).distinct()
+    b = memory.select("entry_id", F.col("text").alias("b")).distinct()
+    blocks = max(1, math.ceil(max(a.count(), b.count()) / BLOCK))
+
+    def keyed(df: DataFrame, key: str, text: str, own: str, other: str, reach: int) -> DataFrame:
+        size = F.greatest(F.length(text), F.lit(1))
+        one = F.floor(F.log(size) / -math.log(min(least, 1) - 2 * slack)) if least > 2 * slack else F.lit(0).cast("long")
+        near = F.sequence(one - reach, one + reach) if least > 2 * slack else F.array(one)
+        row = df.filter(F.col(text).isNotNull()).withColumn(own, F.pmod(F.xxhash64(key, text), F.lit(blocks)))
+        return row.withColumn("class", F.explode(near)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    pairs = keyed(a, "seg_id", "a", "i", "j", 0).join(keyed(b, "entry_id", "b", "j", "i", 1), ["class", "i", "j"])
+    longer = F.greatest(F.length("a"), F.length("b"), F.lit(1))
+    most = F.floor((1 - least + slack) * longer).cast("int")
+    edits = F.when(F.abs(F.length("a") - F.length("b")) <= most, F.call_function("levenshtein", F.col("a"), F.col("b"), most)).otherwise(-1)
+    scored = pairs.select("seg_id", "entry_id", edits.alias("edits"), longer.alias("longer")).filter("edits >= 0")
+    return scored.select("seg_id", "entry_id", F.round(1 - F.col("edits") / F.col("longer"), 6).alias("similarity")).filter(F.col("similarity") >= least)

@@ -1,6 +1,7 @@
 """Cases of the library's own operators, without any table."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -245,6 +246,23 @@ def test_memory(spark):
     assert [r.entry_id for r in memory.fuzzy(a, b).collect()] == [7]
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_fuzzy_finds_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(memory, "BLOCK", block, raising=False)
+    r = random.Random(3)
+    base = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    texts = ["Hello world", "hi", "", "a", "ab", *(" ".join(r.sample(base, r.randint(1, 12))) for _ in range(60))]
+    every = lambda t, k: " ".join(w + "x" * (i % k == 0) for i, w in enumerate(t.split(" ")))
+    edited = [*texts, "Hello world!", *(every(t, k) for t in texts for k in (1, 2, 3))]
+    a = spark.createDataFrame(list(enumerate(texts)) + [(900, None), (0, texts[0])], "seg_id long, text string")
+    b = spark.createDataFrame(list(enumerate(edited)) + [(900, None)], "entry_id long, text string")
+    score = F.round(1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"), F.lit(1)), 6)
+    cross = a.distinct().select("seg_id", F.col("text").alias("x")).crossJoin(b.select("entry_id", F.col("text").alias("y"))).select("seg_id", "entry_id", score.alias("similarity"))
+    for least in (0.7, 0.9, 1.0):
+        want = sorted(tuple(x) for x in cross.filter(F.col("similarity") >= least).collect())
+        assert sorted(tuple(x) for x in memory.fuzzy(a, b, least).collect()) == want and len(want) >= len(texts)
+
+
 def test_ocr(spark):
     rows = [(1, 1, 1, 1, i, t, c, 10 * i, 5, 8, 10) for i, (t, c) in enumerate([("Hello", 90.0), ("world", 70.0), ("", 99.0), ("bad", -1.0)])] + [(1, 1, 1, 2, 9, "..", 90.0, 0, 0, 1, 1)]
     (line,) = pages.ocr_lines(spark.createDataFrame(rows, "page int, block int, par int, line int, idx int, text string, conf double, left int, top int, width int, height int")).collect()
