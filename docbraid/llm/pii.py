@@ -10,12 +10,17 @@ cannot map two values to one.
 
 What a permutation cannot exclude is that a surrogate equals a real entity of
 the corpus. That is checked over the whole corpus: such entities are permuted
-again under another tweak until their surrogates are neither real nor taken.
+again under another tweak until their surrogates are neither real nor
+taken; those still open after some rounds get the free values of their format by
+rank. Only where a format has fewer free values than it needs does an entity keep
+a surrogate that is real (another entity's value or its own).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -23,11 +28,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docbraid.llm.common import checked_broadcast, materialise, row_key
 
 KEY = b"docbraid surrogate key 1"
-#: After so many tries an entity keeps its first surrogate: its format has no free value left.
+#: After so many tries the entities still open get the free values of their format by rank.
 MAX_ATTEMPTS = 16
 
 FIRST_NAMES: dict[tuple[str, str], tuple[str, ...]] = {
@@ -90,7 +96,11 @@ def recast(s: str, key: bytes, tweak: str) -> str:
         if c in _CLASS:
             alphabet, i = _CLASS[c]
             x, n = x * len(alphabet) + i, n * len(alphabet)
-    x = permute(x, n, key, f"{tweak}|{shape(s)}")
+    return _filled(s, permute(x, n, key, f"{tweak}|{shape(s)}"))
+
+
+def _filled(s: str, x: int) -> str:
+    """The x-th text of s's shape."""
     out = []
     for c in reversed(s):
         if c in _CLASS:
@@ -122,6 +132,12 @@ def _kept(ip: str) -> int:
     return int(a in (0, 10, 127) or a >= 224)
 
 
+@functools.cache
+def _public() -> tuple[int, ...]:
+    """The first two octets of the addresses that keep none."""
+    return tuple(x for x in range(1 << 16) if not _kept(f"{x >> 8}.{x & 255}.0.0"))
+
+
 def canonical(kind: str, found: str) -> str:
     """What all spellings of one entity share."""
     if kind == "email":
@@ -135,6 +151,8 @@ def canonical(kind: str, found: str) -> str:
 
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """The canonical form's replacement, in canonical form."""
+    if attempt > MAX_ATTEMPTS:
+        return ranked(kind, entity, key, attempt - MAX_ATTEMPTS - 1)
     tweak = f"{kind}|{attempt}"
     if kind == "email":
         local, domain = entity.rsplit("@", 1)
@@ -160,6 +178,55 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     return recast(entity, key, tweak)
 
 
+def cell(kind: str, entity: str) -> str:
+    """What a canonical form shares with all those that could take its place."""
+    if kind == "email":
+        local, domain = entity.rsplit("@", 1)
+        return f"{shape(local)}@{domain}"
+    if kind == "card":
+        return f"{entity[0]}|{len(entity)}|{luhn(entity)}"
+    if kind == "ip":
+        return ".".join(entity.split(".")[: _kept(entity)])
+    if kind == "name":
+        first, last = entity.split(" ", 1)
+        return f"{first} {shape(last)}"
+    return shape(entity)
+
+
+def room(kind: str, entity: str) -> int:
+    """How many values the entity's cell has."""
+    if kind == "card":
+        return 10 ** (len(entity) - 2) * (1 if luhn(entity) else 9)
+    if kind == "ip":
+        kept = _kept(entity)
+        return 1 << 8 * (4 - kept) if kept else len(_public()) << 16
+    varied = entity.rsplit("@", 1)[0] if kind == "email" else entity.split(" ", 1)[1] if kind == "name" else entity
+    return math.prod(len(_CLASS[c][0]) for c in varied if c in _CLASS)
+
+
+def ranked(kind: str, entity: str, key: bytes, rank: int) -> str:
+    """The value of that rank, in a keyed order, of the cell of the entity's surrogates."""
+    new = surrogate(kind, entity, key)
+    where = cell(kind, new)
+    x = permute(rank, room(kind, new), key, f"{kind}|rank|{where}")
+    if kind == "email":
+        local, domain = new.rsplit("@", 1)
+        return f"{_filled(local, x)}@{domain}"
+    if kind == "card":
+        x, other = (x, None) if luhn(new) else divmod(x, 9)
+        body = f"{new[0]}{x:0{len(new) - 2}d}"
+        check = next(d for d in range(10) if luhn(f"{body}{d}"))
+        return f"{body}{check if other is None else (check + 1 + other) % 10}"
+    if kind == "ip":
+        kept = _kept(new)
+        head = list(map(int, new.split(".")[:kept])) if kept else list(_public()[x >> 16].to_bytes(2))
+        return ".".join(map(str, [*head, *(x if kept else x & 65535).to_bytes(4 - len(head))]))
+    if kind == "name":
+        first, last = new.split(" ", 1)
+        return f"{first} {_filled(last, x)}"
+    return _filled(new, x)
+
+
 def dress(kind: str, found: str, new: str) -> str:
     """The canonical surrogate in the format of what was found."""
     if kind in ("card", "ssn", "phone"):
@@ -227,19 +294,52 @@ def _extracted(text: Column, key: bytes) -> Column:
     return extracted(text)
 
 
-def _again(kind: Column, entity: Column, attempt: int, key: bytes) -> Column:
+def _again(kind: Column, entity: Column, attempt: Column, key: bytes) -> Column:
     @F.arrow_udf("string")
-    def again(kinds: pa.Array, names: pa.Array) -> pa.Array:
-        return pa.array([surrogate(k, e, key, attempt) for k, e in zip(kinds.to_pylist(), names.to_pylist(), strict=True)], pa.string())
+    def again(kinds: pa.Array, names: pa.Array, tries: pa.Array) -> pa.Array:
+        return pa.array([surrogate(k, e, key, n) for k, e, n in zip(kinds.to_pylist(), names.to_pylist(), tries.to_pylist(), strict=True)], pa.string())
 
-    return again(kind, entity)
+    return again(kind, entity, attempt)
+
+
+def _cells(kind: Column, value: Column) -> Column:
+    @F.arrow_udf("struct<cell:string,room:bigint>")
+    def cells(kinds: pa.Array, values: pa.Array) -> pa.Array:
+        rows = [{"cell": cell(k, v), "room": min(room(k, v), 1 << 62)} for k, v in zip(kinds.to_pylist(), values.to_pylist(), strict=True)]
+        return pa.array(rows, pa.struct([("cell", pa.string()), ("room", pa.int64())]))
+
+    return cells(kind, value)
+
+
+def _by_rank(still: DataFrame, blocked: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, attempt) that give the open entities free values of their cells, as far as these go.
+
+    Of a cell with b blocked values and m open entities, the first b + m values
+    hold m free ones, or they are the whole cell.
+    """
+    first = still.withColumn("new", _again(F.col("kind"), F.col("entity"), F.lit(0), key))
+    placed = materialise(first.select("kind", "entity", _cells(F.col("kind"), F.col("new")).alias("c")).select("kind", "entity", "c.*"))
+    cells = placed.groupBy("kind", "cell").agg(F.min("entity").alias("one"), F.first("room").alias("room"), F.count("*").alias("m"))
+    full = blocked.select("kind", _cells(F.col("kind"), F.col("new"))["cell"].alias("cell")).groupBy("kind", "cell").agg(F.count("*").alias("b"))
+    size = F.least("room", F.col("m") + F.coalesce("b", F.lit(0)))
+    step = 1 << 12
+    parts = cells.join(full, ["kind", "cell"], "left").select("kind", "cell", "one", size.alias("size"))
+    parts = parts.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long")))).repartition("kind", "cell", "at")
+    ranks = parts.withColumn("attempt", F.explode(F.sequence(F.col("at") + MAX_ATTEMPTS + 1, F.least(F.col("at") + step, "size") + MAX_ATTEMPTS)))
+    values = materialise(ranks.select("kind", "cell", "attempt", _again(F.col("kind"), F.col("one"), F.col("attempt"), key).alias("new")))
+    order = lambda c: F.row_number().over(Window.partitionBy("kind", "cell").orderBy(c))
+    free = values.join(blocked, ["kind", "new"], "left_anti").withColumn("n", order("attempt"))
+    return materialise(placed.withColumn("n", order("entity")).join(free, ["kind", "cell", "n"]).select("kind", "entity", "attempt"))
 
 
 def retries(found: DataFrame, key: bytes = KEY) -> DataFrame | None:
     """(kind, entity, attempt) for entities whose first surrogate is real or taken; None if there are none.
 
     found has the distinct (kind, entity, new) of the corpus. Each round is a
-    join of the entities still open with the real and the taken values.
+    join of the entities still open with the real and the taken values. What
+    MAX_ATTEMPTS rounds leave open gets free values by rank. An entity is without
+    a row though its first surrogate is real only if its format has no free value
+    left; its surrogate then still is no other entity's surrogate.
     """
     real = found.select("kind", F.col("entity").alias("new"))
 
@@ -257,15 +357,15 @@ def retries(found: DataFrame, key: bytes = KEY) -> DataFrame | None:
     taken = materialise(accepted.select("kind", "new"))
     done = None
     for attempt in range(1, MAX_ATTEMPTS + 1):
-        tried = materialise(still.select("kind", "entity", _again(F.col("kind"), F.col("entity"), attempt, key).alias("new")))
+        tried = materialise(still.select("kind", "entity", _again(F.col("kind"), F.col("entity"), F.lit(attempt), key).alias("new")))
         accepted, still = split(tried, taken)
         accepted, still = materialise(accepted), materialise(still.select("kind", "entity"))
-        rows = accepted.select("kind", "entity", F.lit(attempt).alias("attempt"))
+        rows = accepted.select("kind", "entity", F.lit(attempt).cast("long").alias("attempt"))
         done = rows if done is None else done.unionByName(rows)
         taken = taken.unionByName(accepted.select("kind", "new"))
         if still.isEmpty():
-            break
-    return done
+            return done
+    return done.unionByName(_by_rank(still, real.unionByName(taken), key))
 
 
 def pseudonymise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: bytes = KEY) -> DataFrame:
@@ -296,7 +396,7 @@ def pseudonymise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     holding = rows.select("k1", "k2", F.explode(_extracted(F.col("text"), key)).alias("e")).select("k1", "k2", "e.*")
     holding = materialise(holding)
     again = retries(materialise(holding.select("kind", "entity", "new").distinct()), key)
-    none = F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>")
+    none = F.lit(None).cast("array<struct<kind:string,entity:string,attempt:bigint>>")
     finish = lambda df, column: df.select("doc_id", replaced(F.col("text"), column).alias("r")).select("doc_id", F.col("r.text").alias("text"), F.col("r.n").alias("n_entities"))
     if again is None:
         return finish(rows, none)

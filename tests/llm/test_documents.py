@@ -230,6 +230,24 @@ def test_surrogates_keep_type_gender_script_and_coreference():
     assert pii.replace("Plain prose of 12 words, version 2.0.", b"k") == ("Plain prose of 12 words, version 2.0.", 0)
 
 
+@pytest.mark.parametrize("n, apart", [(50, 50), (60, 40)])
+def test_crowded_formats_use_all_free_values(spark, n, apart):
+    entities = [f"{i:02d}" for i in range(n)]
+    again = pii.retries(spark.createDataFrame([("ssn", e, pii.surrogate("ssn", e, b"k")) for e in entities], "kind string, entity string, new string"), b"k")
+    attempts = {r.entity: r.attempt for r in again.collect()}
+    final = [pii.surrogate("ssn", e, b"k", attempts.get(e, 0)) for e in entities]
+    assert len(set(final)) == n and len(set(final) - set(entities)) == apart
+
+
+def test_ranked_values_are_those_of_the_format():
+    cases = [("email", "a1@x.io"), ("email", "bo@müll.de"), ("ip", "192.168.3.4"), ("ip", "10.1.2.3"), ("ip", "8.8.8.8"), ("card", "4111111111111111"), ("card", "4111111111111112"), ("ssn", "123456789"), ("phone", "2025550123"), ("name", "emma wu")]
+    for kind, e in cases:
+        own = pii.surrogate(kind, e, b"k")
+        some = [pii.ranked(kind, e, b"k", i) for i in range(min(pii.room(kind, own), 300))]
+        assert len(set(some)) == len(some) and {pii.cell(kind, x) for x in some} == {pii.cell(kind, own)}
+    assert {pii.ranked("email", "a1@x.io", b"k", i).split("@")[0] for i in range(50)} == {f"{v}{d}" for v in "aeiou" for d in range(10)}
+
+
 def test_retries_keep_surrogates_apart_from_real_values(spark):
     entities = [f"{i:03d}" for i in range(0, 1000, 9)]
     rows = [("ssn", e, pii.surrogate("ssn", e, b"k")) for e in entities]
