@@ -10,14 +10,31 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docbraid.llm.common import checked_broadcast, row_key
 
-#: Group 1 is the value. Keyed assignments, and formats that show what they are.
-PATTERN = (
+_KEYWORD = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Pp]rivate[_-]?[Kk]ey|PRIVATE[_-]?KEY)"
+#: Words that may follow a keyword (_KEY, _access_key, AccessKey), and the separator.
+_ASSIGNED = r"""(?:[_A-Z-][A-Za-z0-9_-]*)?["']?[ \t]*(?:=|:)[ \t]*"""
+_BRANCHES = (
+    rf"""{_KEYWORD}{_ASSIGNED}(?:"([^"\s]{{8,}})"|'([^'\s]{{8,}})')""",
+    rf"""(?:[Pp]assword|PASSWORD|[Pp]asswd){_ASSIGNED}["']?([A-Za-z0-9_/+.\-&!@#$%^*?~=]{{8,}})""",
+    rf"""{_KEYWORD}{_ASSIGNED}["']?([A-Za-z0-9_/+.\-]{{16,}})""",
+    r"""-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:([\s\S]+?)-----END|([A-Za-z0-9+/=\\\s]{16,}))""",
+    r"""(?:[Bb]earer|BEARER)[ \t]+([A-Za-z0-9_.~+/=-]{16,})""",
+    r"""\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)""",
+    r"""://[^\s/:@"'<>]*:([^\s/@"'<>]{8,})@""",
+    r"""\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35})""",
+)
+#: One of its groups is the value. Keyed assignments, and formats that show what they are.
+PATTERN = "|".join(_BRANCHES)
+_GROUPS = re.compile(PATTERN).groups
+#: The candidates of the SQL: a part of those of PATTERN.
+_SQL_PATTERN = (
     r"""(?:(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)["']?[ \t]*(?:=|:)[ \t]*["']?)"""
     r"""([A-Za-z0-9_/+.\-]{16,})"""
     r"""|\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35})"""
@@ -26,6 +43,8 @@ PATTERN = (
 ANCHORS = (
     *("oken", "OKEN", "ecret", "ECRET", "assword", "ASSWORD", "asswd"),
     *(f"{a}{b}{c}" for a, k in (("pi", ("key", "Key")), ("PI", ("KEY",))) for b in ("_", "-", "") for c in k),
+    *("rivatekey", "rivateKey", "rivate_key", "rivate_Key", "rivate-key", "rivate-Key", "PRIVATEKEY", "PRIVATE_KEY", "PRIVATE-KEY", "PRIVATE KEY"),
+    *("earer", "BEARER", "eyJ", "://"),
     *("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza"),
 )
 #: Values that more owners hold are copied examples.
@@ -41,7 +60,7 @@ def candidates(text: Column) -> Column:
     Only texts that hold an anchor, which every match contains, meet the expression.
     """
     possible = functools.reduce(operator.or_, [text.contains(a) for a in ANCHORS])
-    value = lambda m: F.concat(F.regexp_extract(m, PATTERN, 1), F.regexp_extract(m, PATTERN, 2))
+    value = lambda m: F.concat(*[F.regexp_extract(m, PATTERN, n + 1) for n in range(_GROUPS)])
     found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), value)))
     return F.when(possible, found).otherwise(F.array().cast("array<string>"))
 
@@ -126,7 +145,7 @@ def redact_live(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 
 def _oracle() -> str:
-    quoted = PATTERN.replace("'", "''")
+    quoted = _SQL_PATTERN.replace("'", "''")
     return f"""
 WITH listed AS (SELECT doc_id, text, coalesce(source, '') AS repository,
   list_distinct(list_filter(list_concat(regexp_extract_all(text, '{quoted}', 1), regexp_extract_all(text, '{quoted}', 2)), lambda x: x <> '')) AS vals FROM documents),
