@@ -19,22 +19,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docbraid.llm import textkernel as tk
 from docbraid.llm.common import slices
 from docbraid.llm.tokens import VOCABULARY, encoder
 
 SHARD_TOKENS = 1 << 20
-#: A pair must occur so often to become a rule.
-MIN_COUNT = 8
-#: Compression ends after a round that replaced a smaller share of the symbols.
-MIN_GAIN = 0.005
+#: A pair must occur so often to become a rule: a rule is three stored words and each occurrence saves one.
+MIN_COUNT = 4
+#: Up to so many bits, a pair and a position are sorted as one word.
 _SYMBOL_BITS = 21
 
-SCHEMA = (
-    "shard long, first_rule int, n_tokens long, n_symbols long, n_rules int, doc_ids array<long>, token_ends array<long>, "
-    "symbol_ends array<long>, symbols binary, rule_left binary, rule_right binary, rule_length binary"
-)
+
+
+def _schema(kind: str) -> str:
+    return (
+        f"shard long, first_rule int, n_tokens long, n_symbols long, n_rules int, doc_ids array<{kind}>, token_ends array<long>, "
+        "symbol_ends array<long>, symbols binary, rule_left binary, rule_right binary, rule_length binary"
+    )
 
 
 @dataclass
@@ -49,11 +52,16 @@ class Grammar:
     length: np.ndarray
 
 
-def _positions_by_pair(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pairs at these positions as numbers; symbols have 31 bits."""
+    return seq[at] << 32 | seq[at + 1]
+
+
+def _positions_by_pair(seq: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The positions at sorted by the pair there, the starts of the pairs' runs and their sizes."""
-    key = seq[at] << _SYMBOL_BITS | seq[at + 1]
-    if len(seq) < 1 << _SYMBOL_BITS:
-        packed = key << _SYMBOL_BITS
+    key = _pairs(seq, at)
+    if max(len(seq), symbols) < 1 << _SYMBOL_BITS:
+        packed = (seq[at] << _SYMBOL_BITS | seq[at + 1]) << _SYMBOL_BITS
         packed |= at
         packed.sort()
         pair, place = packed >> _SYMBOL_BITS, packed & ((1 << _SYMBOL_BITS) - 1)
@@ -65,8 +73,16 @@ def _positions_by_pair(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     return place, start, np.diff(np.append(start, len(pair)))
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> Grammar:
-    """The grammar of a shard; ends are the ends of the documents in ids."""
+def _odd_in_run(at: np.ndarray) -> np.ndarray:
+    """Which of these ascending places are the second, fourth, ... of a run of neighbours."""
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = at[1:] != at[:-1] + 1
+    run = np.flatnonzero(fresh)
+    return (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 1
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int = MIN_COUNT) -> Grammar:
+    """The grammar of a shard, made until no pair occurs min_count times; ends are the ends of the documents in ids."""
     seq, ends = ids.astype(np.int64), np.asarray(ends, np.int64)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
@@ -76,7 +92,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int
     live = np.ones(len(seq), bool)
     live[ends[ends > 0] - 1] = False
     while len(seq) > 1:
-        place, start, size = _positions_by_pair(seq, np.flatnonzero(live))
+        at = np.flatnonzero(live)
+        # Of a pair over itself (a a a a) every other place counts, so the most frequent pair can be taken wherever it is counted.
+        twice = at[seq[at] == seq[at + 1]]
+        skipped = twice[_odd_in_run(twice)]
+        live[skipped] = False
+        place, start, size = _positions_by_pair(seq, np.flatnonzero(live), following)
         often = size >= min_count
         if not often.any():
             break
@@ -85,23 +106,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int
         live[place] = True
         # Frequency first; a hash makes equally frequent pairs agree on one order everywhere.
         heads = np.cumsum(size) - size
-        pair_hash = (tk.mix((seq[place[heads]] << _SYMBOL_BITS | seq[place[heads] + 1]).view(np.uint64)) >> np.uint64(24)).view(np.int64)
+        pair_hash = (tk.mix(_pairs(seq, place[heads]).view(np.uint64)) >> np.uint64(24)).view(np.int64)
         rank = np.zeros(len(seq) + 1, np.int64)
         rank[place] = np.repeat(np.minimum(size, (1 << 22) - 1) << 40 | pair_hash, size)
         take = rank[:-1] > 0
         take[1:] &= rank[1:-1] >= rank[:-2]
         take &= rank[:-1] >= rank[1:]
         took = np.flatnonzero(take)
-        # Neighbours that are both left are one pair over itself (a a a a): every other one is taken.
-        fresh = np.ones(len(took), bool)
-        fresh[1:] = took[1:] != took[:-1] + 1
-        run = np.flatnonzero(fresh)
-        took = took[(np.arange(len(took)) - np.repeat(run, np.diff(np.append(run, len(took))))) % 2 == 0]
-        place, start, size = _positions_by_pair(seq, took)
+        took = took[~_odd_in_run(took)]  # only a clash of the hash leaves neighbours
+        live[skipped] = True
+        place, start, size = _positions_by_pair(seq, took, following)
         often = size >= min_count
-        room = (1 << _SYMBOL_BITS) - 1 - following
-        if often.sum() > room:
-            often &= np.cumsum(often) <= room
         if not often.any():
             break
         n = int(often.sum())
@@ -119,8 +134,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int
         live[made] = True
         live[np.maximum(made - 1, 0)] = True
         live[ends[ends > 0] - 1] = False
-        if len(place) < min_gain * len(seq):
-            break
     a = np.concatenate([np.empty(0, np.int64), *left])
     b = np.concatenate([np.empty(0, np.int64), *right])
     length = np.ones(following, np.int64)
@@ -189,8 +202,8 @@ def compress_corpus(
     Binary columns are little-endian 32-bit integers. Every row of docs is in
     exactly one shard, in the order of its partition; there is no shuffle. A
     shard closes at shard_tokens tokens; a longer document makes a longer shard,
-    whole. Null and empty texts are documents without tokens, null ids stay
-    null, repeated rows are stored as often as they occur. Other columns of docs
+    whole. Null and empty texts are documents without tokens, ids of any type
+    keep it, null ids stay null, repeated rows are stored as often as they occur. Other columns of docs
     play no part. An empty table gives no shard.
     """
 
@@ -209,7 +222,7 @@ def compress_corpus(
             raw = lambda x: [x.astype("<u4").tobytes()]
             row = {
                 "shard": [part << 32 | done], "first_rule": pa.array([first_rule], pa.int32()), "n_tokens": [int(ends[-1]) if len(ends) else 0], "n_symbols": [len(g.symbols)],
-                "n_rules": pa.array([len(g.left)], pa.int32()), "doc_ids": pa.array([list(keys)], pa.list_(pa.int64())), "token_ends": [ends], "symbol_ends": [g.ends],
+                "n_rules": pa.array([len(g.left)], pa.int32()), "doc_ids": pa.array([list(keys)], pa.list_(kind)), "token_ends": [ends], "symbol_ends": [g.ends],
                 "symbols": raw(g.symbols), "rule_left": raw(g.left), "rule_right": raw(g.right), "rule_length": raw(g.length),
             }
             ids.clear(), sizes.clear(), keys.clear()
@@ -236,4 +249,6 @@ def compress_corpus(
         if keys:
             yield emit()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(shards, SCHEMA)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    name, kind = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
+    return rows.mapInArrow(shards, _schema(name))

@@ -1,5 +1,6 @@
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,81 @@ def test_ids_are_those_of_the_plain_encoder():
         assert lengths[i] == len(want)
 
 
-def brute_force_pairs(seq, min_count):
-    """Left-to-right non-overlapping counts of the most frequent pair are at least what any rule needs."""
-    from collections import Counter
+def sequential(ids, ends, first_rule, min_count):
+    """Re-Pair one pair at a time: (symbols left, rules). Pairs are counted left to right without overlap, within documents."""
+    docs, low = [], 0
+    for high in ends:
+        docs.append(list(ids[low:high]))
+        low = high
+    rules = 0
+
+    def pairs(doc):
+        at = 0
+        while at + 1 < len(doc):
+            yield at, (doc[at], doc[at + 1])
+            at += 1
+
+    def count():
+        n = Counter()
+        for doc in docs:
+            last = {}
+            for at, p in pairs(doc):
+                if p[0] != p[1] or last.get(p) != at - 1:
+                    n[p] += 1
+                    last[p] = at
+        return n
+
+    while (n := count()) and max(n.values()) >= min_count:
+        top = max(n, key=lambda p: (n[p], p))
+        for k, doc in enumerate(docs):
+            out, at = [], 0
+            while at < len(doc):
+                hit = at + 1 < len(doc) and (doc[at], doc[at + 1]) == top
+                out.append(first_rule + rules if hit else doc[at])
+                at += 2 if hit else 1
+            docs[k] = out
+        rules += 1
+    return sum(map(len, docs)), rules
+
+
+def left_pairs(g, min_count):
+    """Pairs of the finished symbols that are still frequent."""
+    n, low = Counter(), 0
+    for high in g.ends:
+        doc, low, last = g.symbols[low:high].tolist(), high, {}
+        for at, p in enumerate(zip(doc, doc[1:], strict=False)):
+            if p[0] != p[1] or last.get(p) != at - 1:
+                n[p] += 1
+                last[p] = at
+    return {p for p, k in n.items() if k >= min_count}
+
+
+def zipf(seed, n, kinds):
+    r = random.Random(seed)
+    phrases = [[r.randrange(kinds) for _ in range(r.randint(2, 9))] for _ in range(30)]
+    out = []
+    while len(out) < n:
+        out += r.choice(phrases[: r.randint(1, 30)]) if r.random() < 0.6 else [int(r.paretovariate(1)) % kinds]
+    return np.array(out[:n], np.int32)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rounds_come_close_to_sequential_repair(seed):
+    ids = zipf(seed, 2500, 50)
+    ends = np.array([0, 700, 700, 1900, 2500])
+    for min_count in (2, repair.MIN_COUNT, 8):
+        g = repair.compress(ids, ends, 50, min_count)
+        assert repair.expand(g, 0, len(g.symbols)) == ids.tolist()
+        symbols, rules = sequential(ids.tolist(), ends, 50, min_count)
+        assert not left_pairs(g, min_count)
+        assert len(g.symbols) + 2 * len(g.left) <= 1.05 * (symbols + 2 * rules)
 
-    return Counter(zip(seq, seq[1:], strict=False))
+
+def test_repeats_of_one_symbol_do_not_stop_the_rounds():
+    ids = np.array([7] * 9 + [1, 2] * 4 + [3, 1, 2, 3], np.int32)
+    g = repair.compress(ids, np.array([len(ids)]), 10, min_count=5)
+    assert not left_pairs(g, 5) and len(g.symbols) == len(ids) - 5
+    assert repair.expand(g, 0, len(g.symbols)) == ids.tolist()
 
 
 def test_grammar_round_trip_and_random_access():
@@ -41,7 +112,7 @@ def test_grammar_round_trip_and_random_access():
         n = r.randint(0, 80)
         ids = np.array([r.randint(0, 3) for _ in range(n)], np.int32)
         ends = np.array(sorted(r.randint(0, n) for _ in range(3)) + [n])
-        g = repair.compress(ids, ends, 4, min_count=2, min_gain=0)
+        g = repair.compress(ids, ends, 4, min_count=2)
         assert repair.expand(g, 0, len(g.symbols)) == ids.tolist()
         low = 0
         for d, high in enumerate(ends):
@@ -55,16 +126,16 @@ def test_grammar_round_trip_and_random_access():
 
 def test_no_frequent_pair_is_left():
     ids = np.array([1, 2, 3] * 200 + [2, 3] * 100, np.int32)
-    g = repair.compress(ids, np.array([len(ids)]), 10, min_count=4, min_gain=0)
+    g = repair.compress(ids, np.array([len(ids)]), 10, min_count=4)
     assert len(g.symbols) < 20
     assert repair.expand(g, 0, len(g.symbols)) == ids.tolist()
 
 
 def test_long_shards_take_the_other_sort(monkeypatch):
     ids = np.array([5, 6, 7, 5, 6] * 50, np.int32)
-    a = repair.compress(ids, np.array([len(ids)]), 10, 2, 0)
+    a = repair.compress(ids, np.array([len(ids)]), 10, 2)
     monkeypatch.setattr(repair, "_SYMBOL_BITS", 7)  # positions no longer fit beside the pair
-    b = repair.compress(ids, np.array([len(ids)]), 10, 2, 0)
+    b = repair.compress(ids, np.array([len(ids)]), 10, 2)
     assert repair.expand(b, 0, len(b.symbols)) == repair.expand(a, 0, len(a.symbols)) == ids.tolist()
 
 
@@ -81,6 +152,9 @@ def test_corpus_shards_hold_every_row(spark):
         assert row.n_tokens == row.token_ends[-1]
     assert sorted(got) == want
     assert repair.compress_corpus(empty(spark)).count() == 0
+    named = repair.compress_corpus(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), shard_tokens=500)
+    assert dict(named.dtypes)["doc_ids"] == "array<string>"
+    assert Counter(k for r in named.collect() for k in r.doc_ids) == Counter(k and f"d{k}" for k in (r.doc_id for r in docs.collect()))
 
 
 def brute_unigram(v, text):
