@@ -44,13 +44,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def fits(table: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised table may be broadcast; rows of unlike sizes have theirs summed, not guessed."""
+    size = table.count() * row_bytes if isinstance(row_bytes, int) else table.agg(F.sum(row_bytes)).first()[0] or 0
+    return size <= limit
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, materialised, with a broadcast hint only if its counted size is under the limit.
 
     Beyond the limit Spark joins it by shuffle like any other table.
     """
     table = materialise(df)
-    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+    return F.broadcast(table) if fits(table, row_bytes, limit) else table
 
 
 def row_key(id_col: Column, text_col: Column) -> list[Column]:

@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docbraid.llm.common import checked_broadcast, row_key
+from docbraid.llm.common import fits, materialise, row_key
 
 _KEYWORD = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Pp]rivate[_-]?[Kk]ey|PRIVATE[_-]?KEY)"
 #: Words that may follow a keyword (_KEY, _access_key, AccessKey), and the separator.
@@ -33,12 +33,6 @@ _BRANCHES = (
 #: One of its groups is the value. Keyed assignments, and formats that show what they are.
 PATTERN = "|".join(_BRANCHES)
 _GROUPS = re.compile(PATTERN).groups
-#: The candidates of the SQL: a part of those of PATTERN.
-_SQL_PATTERN = (
-    r"""(?:(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)["']?[ \t]*(?:=|:)[ \t]*["']?)"""
-    r"""([A-Za-z0-9_/+.\-]{16,})"""
-    r"""|\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35})"""
-)
 #: Every match of PATTERN contains one of these.
 ANCHORS = (
     *("oken", "OKEN", "ecret", "ECRET", "assword", "ASSWORD", "asswd"),
@@ -51,7 +45,9 @@ ANCHORS = (
 MAX_OWNERS = 2
 #: A live-looking value has this many different characters, digits among them, and no word of PLACEHOLDER.
 MIN_DISTINCT = 8
-PLACEHOLDER = "example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234567|abcdef"
+PLACEHOLDER = "example|sample|dummy|placeholder|changeme|your|xxxx"
+#: Nor is it, as a whole, part of one of these: digits and letters in their order.
+SERIES = "0123456789012345678901234567890123456789|abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz|1234567890abcdefghijklmnopqrstuvwxyz|0123456789abcdef0123456789abcdef0123456789abcdef|abcdef0123456789abcdef0123456789abcdef0123456789|abcdef1234567890abcdef1234567890abcdef1234567890|1234567890abcdef1234567890abcdef1234567890abcdef"
 
 
 def candidates(text: Column) -> Column:
@@ -67,7 +63,8 @@ def candidates(text: Column) -> Column:
 
 def _looks_live(value: Column) -> Column:
     kinds = F.size(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")))
-    return (kinds >= MIN_DISTINCT) & value.rlike("[0-9]") & ~F.lower(value).rlike(PLACEHOLDER)
+    counted = F.lit(SERIES).contains(F.regexp_replace(F.lower(value), "[^a-z0-9]", ""))
+    return (kinds >= MIN_DISTINCT) & value.rlike("[0-9]") & ~F.lower(value).rlike(PLACEHOLDER) & ~counted
 
 
 def _verdicts(found: DataFrame) -> DataFrame:
@@ -119,41 +116,55 @@ def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 def redact_live(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with every live secret replaced by [SECRET], all rows and columns kept.
 
-    Rows without candidates pass straight from the scan; only rows that hold
-    some are joined with the corpus-wide verdicts. n_chars, if docs has it,
-    follows the new text.
+    One pass finds the candidates, of which only hashes are stored; the
+    rows of the documents with live ones, if they are few enough to be
+    broadcast, meet the table by key, and only their texts are searched again.
+    Beyond that only the rows that hold candidates are shuffled. Longer secrets
+    are replaced first, so none is left as a part of another. Null and
+    empty texts stay as they are, rows repeated in full are redacted alike, a
+    text of any length is searched whole. n_chars, if docs has it, follows the
+    new text. An empty table gives an empty result.
     """
-    keyed = docs.select(F.struct("*").alias("row"), candidates(F.col(text)).alias("found"))
-    plain = keyed.filter(F.size("found") == 0).select("row.*")
-    found = _found(docs, doc_id, text, source)
+    found = materialise(_found(docs, doc_id, text, source).select("k1", "k2", "doc", "repository", "owner", "secret_hash", "live"))
     live = _verdicts(found).filter("verdict = 'live'").select("secret_hash")
-    values = found.join(live, "secret_hash").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("size"), "value"))).alias("live"))
-    k1, k2 = row_key(F.col(f"row.{doc_id}"), F.col(f"row.{text}"))
-    holding = keyed.filter(F.size("found") > 0).select("row", k1.alias("k1"), k2.alias("k2"))
-    joined = holding.join(values, ["k1", "k2"], "left")
-    clean = F.aggregate(F.coalesce("live", F.array().cast("array<struct<size:int,value:string>>")), F.col(f"row.{text}"), lambda t, s: F.replace(t, s["value"], F.lit("[SECRET]")))
-    made = joined.select("row", clean.alias("clean"))
+    holders = materialise(found.join(live, "secret_hash").groupBy("k1", "k2").agg(F.collect_set("secret_hash").alias("live")))
+    k1, k2 = row_key(F.col(doc_id), F.col(text))
+    keyed = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
+    if fits(holders, 64 + 72 * F.size("live")):
+        joined, rest = keyed.join(F.broadcast(holders), ["k1", "k2"], "left"), None
+    else:
+        holds = F.size(candidates(F.col(f"row.`{text}`"))) > 0
+        joined, rest = keyed.filter(holds).join(holders, ["k1", "k2"], "left"), keyed.filter(~holds).select("row.*")
+    old = F.col(f"row.`{text}`")
+    item = lambda v: F.struct((-F.length(v)).alias("size"), v.alias("value"))
+    values = F.array_sort(F.transform(F.filter(candidates(old), lambda v: F.array_contains("live", F.sha2(v, 256))), item))
+    clean = F.aggregate(values, old, lambda t, x: F.replace(t, x["value"], F.lit("[SECRET]")))
+    made = joined.select("row", F.when(F.col("live").isNull(), old).otherwise(clean).alias("clean"), F.col("live").isNotNull().alias("changed"))
     columns = []
     for name in docs.columns:
+        own = F.col(f"row.`{name}`")
         if name == text:
             columns.append(F.col("clean").alias(text))
         elif name == n_chars:
-            columns.append(F.length("clean").cast(docs.schema[name].dataType).alias(name))
+            columns.append(F.when(F.col("changed"), F.length("clean").cast(docs.schema[name].dataType)).otherwise(own).alias(name))
         else:
-            columns.append(F.col(f"row.`{name}`").alias(name))
-    return plain.unionByName(made.select(*columns))
+            columns.append(own.alias(name))
+    out = made.select(*columns)
+    return out if rest is None else rest.unionByName(out)
 
 
 def _oracle() -> str:
-    quoted = _SQL_PATTERN.replace("'", "''")
+    quoted = PATTERN.replace("'", "''")
+    groups = ", ".join(f"regexp_extract_all(text, '{quoted}', {n + 1})" for n in range(_GROUPS))
     return f"""
 WITH listed AS (SELECT doc_id, text, coalesce(source, '') AS repository,
-  list_distinct(list_filter(list_concat(regexp_extract_all(text, '{quoted}', 1), regexp_extract_all(text, '{quoted}', 2)), lambda x: x <> '')) AS vals FROM documents),
+  list_distinct(list_filter(flatten([{groups}]), lambda x: x <> '')) AS vals FROM documents WHERE regexp_matches(text, '{"|".join(ANCHORS)}')),
 found AS (SELECT doc_id, text, repository, string_split(repository, '/')[1] AS owner, unnest(vals) AS value FROM listed),
 counted AS (SELECT value, count(DISTINCT (doc_id, text)) AS n_docs, count(DISTINCT repository) AS n_repositories, count(DISTINCT owner) AS n_owners FROM found GROUP BY value)
 SELECT doc_id, sha256(value) AS secret_hash, n_docs, n_repositories, n_owners,
   CASE WHEN n_owners > {MAX_OWNERS} THEN 'copied_example'
-       WHEN list_unique(string_split(value, '')) >= {MIN_DISTINCT} AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(lower(value), '{PLACEHOLDER}') THEN 'live'
+       WHEN list_unique(string_split(value, '')) >= {MIN_DISTINCT} AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(lower(value), '{PLACEHOLDER}')
+         AND NOT contains('{SERIES}', regexp_replace(lower(value), '[^a-z0-9]', '', 'g')) THEN 'live'
        ELSE 'placeholder' END AS verdict
 FROM found JOIN counted USING (value)
 """
