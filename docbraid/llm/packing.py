@@ -8,6 +8,7 @@ rank among the documents of their length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docbraid.llm.common import materialise, row_key, slices
+from docbraid.llm.common import checked_broadcast, materialise, row_key, slices
 from docbraid.llm.tokens import VOCABULARY, encoder
 
 CAPACITY = 2048
@@ -141,54 +142,96 @@ def _intervals(plan: Plan) -> list[tuple[int, int, int, int, int]]:
 
 
 def _pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, capacity: int) -> DataFrame:
-    @F.arrow_udf("long")
-    def n_tokens(texts: pa.Array) -> pa.Array:
-        parts = [encoder(vocabulary).lengths(x) for x in slices(texts, 1 << 20, 1 << 16)]
-        return pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))
-
+    """(doc_id, k1, k2, start, length, tokens): every document with its end token, cut at the capacity."""
     k1, k2 = row_key(F.col(doc_id), F.col(text))
-    sized = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), (n_tokens(F.col(text)) + END).alias("size"))
-    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(capacity).cast("long"))
-    cut = sized.select("doc_id", "k1", "k2", "size", F.explode(starts).alias("start"))
-    return cut.select("doc_id", "k1", "k2", "start", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("start")).alias("length"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(vocabulary)
+        ender = e.encoding.max_token_value + 1
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column("text"), 1 << 20, 1 << 16):
+                ids, ends = e.encode(part)
+                n = len(part)
+                sizes = np.diff(ends) + END
+                stream = np.full(int(sizes.sum()), ender, "<u4")
+                low = np.cumsum(sizes) - sizes
+                own = np.ones(len(stream), bool)
+                own[low + sizes - END] = False
+                stream[own] = ids
+                cuts = -(-sizes // capacity)
+                doc = np.repeat(np.arange(n), cuts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
+                length = np.minimum(capacity, sizes[doc] - start)
+                offsets = pa.py_buffer((4 * np.append(low[doc] + start, len(stream))).astype(np.int32))
+                tokens = pa.Array.from_buffers(pa.binary(), len(doc), [None, offsets, pa.py_buffer(stream.tobytes())])
+                held = [batch.column(c).slice(at, n).take(pa.array(doc)) for c in ("doc_id", "k1", "k2")]
+                at += n
+                yield pa.RecordBatch.from_arrays([*held, pa.array(start), pa.array(length), tokens], ["doc_id", "k1", "k2", "start", "length", "tokens"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, start long, length long, tokens binary")
+
+
+def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Adds rank: the number of pieces of the same length before a piece, in the order of k1, k2 and start.
+
+    A length of many pieces is sorted in ranges of k1, as many as its own count
+    asks for, so no task sorts more than ROWS_PER_SALT or so. The ranges follow
+    the order of k1, so the rank doesn't depend on their number.
+    """
+    most = max(counts)
+    salts = [max(1, -(-counts.get(n, 0) // ROWS_PER_SALT)) for n in range(most + 1)]
+    if max(salts) == 1:
+        return pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length").orderBy("k1", "k2", "start")).cast("long") - 1)
+    parts = F.element_at(F.lit(salts), F.col("length").cast("int") + 1)
+    salted = pieces.withColumn("salt", F.floor((F.col("k1") / F.lit(2.0**64) + 0.5) * parts).cast("long"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("k1", "k2", "start")).cast("long") - 1)
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    return ranked.join(checked_broadcast(offsets, 24), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """(bin_id, used, doc_ids, starts, lengths): one row for each sequence of at most capacity tokens.
-
-    A document is its tokens and an end token; one longer than the capacity is
-    cut into full windows and a rest, never shortened. Null and empty texts are
-    a single end token. Every row of docs is packed, repeated ones as often as
-    they occur; a null id stays null. Pieces of equal length are interchangeable
+    """(bin_id, used, doc_ids, starts, lengths, tokens): one row for each sequence of at most capacity tokens.
+
+    tokens holds the ids of the whole sequence, little-endian, 32 bits each; the
+    piece that begins at token starts[i] of document doc_ids[i] is lengths[i] of
+    them. A document is its tokens and an end token, whose id is the first after
+    the vocabulary's; one longer than the capacity is cut into full windows and a
+    rest, never shortened. Null and empty texts are a single end token. Every
+    row of docs is packed, repeated ones as often as they occur; ids of any type
+    keep it, a null id stays null. Pieces of equal length are interchangeable
     and ordered by a hash of (id, text), the hash of equal rows being equal.
     Other columns of docs play no part. An empty table gives an empty result.
+
+    Pieces of the full capacity are bins of their own and pass straight from
+    the scan; the tokens of the others are shuffled once to their ranks and once
+    to their bins. bin_id is unique, not dense.
     """
-    spark = docs.sparkSession
     pieces = materialise(_pieces(docs, doc_id, text, vocabulary, capacity))
-    lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # one row a length: capacity rows at most
-    if not lengths:
-        return spark.createDataFrame([], "bin_id long, used long, doc_ids array<long>, starts array<long>, lengths array<long>")
-    counts = {r["length"]: r["n"] for r in lengths}
-    salts = max(1, -(-sum(counts.values()) // (ROWS_PER_SALT * len(counts))))
-    salted = pieces.withColumn("salt", F.pmod("k1", F.lit(salts)))
-    within = Window.partitionBy("length", "salt").orderBy("k1", "k2", "start")
-    ranked = salted.withColumn("rank", F.row_number().over(within).cast("long") - 1)
-    if salts > 1:
-        before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-        ranked = ranked.join(offsets, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    places = _intervals(make_plan(counts, capacity))
+    full = F.col("length") == capacity
+    counts = {r["length"]: r["n"] for r in pieces.filter(~full).groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row a length: under capacity rows
+    plan = make_plan(counts, capacity)
+    own_bin = (F.monotonically_increasing_id() + sum(times for _, times in plan.kinds)).alias("bin_id")
+    alone = pieces.filter(full).select(own_bin, F.col("length").alias("used"), F.array("doc_id").alias("doc_ids"), F.array("start").alias("starts"), F.array("length").alias("lengths"), "tokens")
+    if not counts:
+        return alone
+    places = _intervals(plan)
+    # The places of all lengths, by length and rank: their number depends on the capacity, not on the corpus.
+    big = max(counts.values()) + 1
+    whole = np.array(sorted(places), np.int64)
+    keys, low, base, slot = whole[:, 0] * big + whole[:, 1], whole[:, 1], whole[:, 3], whole[:, 4]
+
     @F.arrow_udf("struct<bin_id:long,slot:long>")
     def place(length: pa.Array, rank: pa.Array) -> pa.Array:
         want = np.stack([length.to_numpy(), rank.to_numpy()])
         at = np.searchsorted(keys, want[0] * big + want[1], side="right") - 1
         return pa.StructArray.from_arrays([pa.array(base[at] + want[1] - low[at]), pa.array(slot[at])], ["bin_id", "slot"])
 
-    # The places of all lengths, by length and rank: their number depends on the capacity, not on the corpus.
-    big = max(counts.values()) + 1
-    whole = np.array(sorted(places), np.int64)
-    keys, low, base, slot = whole[:, 0] * big + whole[:, 1], whole[:, 1], whole[:, 3], whole[:, 4]
-    placed = ranked.select("doc_id", "start", "length", place("length", "rank").alias("p"))
-    members = F.array_sort(F.collect_list(F.struct(F.col("p.slot").alias("slot"), "doc_id", "start", "length")))
-    bins = placed.groupBy(F.col("p.bin_id").alias("bin_id")).agg(F.sum("length").alias("used"), members.alias("m"))
-    return bins.select("bin_id", "used", F.col("m.doc_id").alias("doc_ids"), F.col("m.start").alias("starts"), F.col("m.length").alias("lengths"))
+    placed = _ranked(pieces.filter(~full), counts).select("doc_id", "start", "length", "tokens", place("length", "rank").alias("p")).select("*", "p.*")
+    members = F.array_sort(F.collect_list(F.struct("slot", "doc_id", "start", "length")))
+    shared = placed.groupBy("bin_id").agg(F.sum("length").alias("used"), members.alias("m"), F.expr("listagg(tokens) WITHIN GROUP (ORDER BY slot)").alias("tokens"))
+    mixed = shared.select("bin_id", "used", F.col("m.doc_id").alias("doc_ids"), F.col("m.start").alias("starts"), F.col("m.length").alias("lengths"), "tokens")
+    return alone.unionByName(mixed)

@@ -337,41 +337,65 @@ def test_plans_pack_everything_and_fill_exactly():
     assert check_plan({4: 1, 3: 1, 2: 1, 1: 1}, 10).exact == 1
 
 
-def test_exact_fills_are_those_of_a_scan():
-    """Brute force: whenever one, two or three lengths could still complete the largest one, the plan has completed it."""
-    import itertools
-
+def scanned(counts, capacity):
+    """Brute force, piece by piece: (bins filled exactly, bins in all)."""
+    left, exact, gaps = Counter(counts), 0, []
+    for first in range(capacity, 0, -1):
+        while left[first]:
+            rest, gap = left - Counter([first]), capacity - first
+            fits = [()] if gap == 0 else [(gap,)]
+            fits += [(gap - low, low) for low in range(1, gap // 2 + 1)]
+            fits += [(second, gap - second - low, low) for second in range(gap - 1, 0, -1) for low in range(1, (gap - second) // 2 + 1)]
+            fit = next((c for c in fits if Counter(c) <= rest), None)
+            if fit is None:
+                break
+            left -= Counter([first, *fit])
+            exact += 1
+    for length in sorted(left.elements(), reverse=True):
+        best = min((g for g in gaps if g >= length), default=None)
+        if best is not None:
+            gaps.remove(best)
+        gaps.append((capacity if best is None else best) - length)
+    return exact, exact + len(gaps)
+
+
+def test_plans_are_those_of_a_scan():
     r = random.Random(8)
-    for _ in range(40):
-        capacity = r.randint(3, 14)
-        counts = Counter(r.randint(1, capacity) for _ in range(r.randint(1, 25)))
-        left, exact = Counter(counts), 0
-        for first in range(capacity, 0, -1):
-            while left[first]:
-                rest = left - Counter([first])
-                fit = next((c for k in (0, 1, 2, 3) for c in itertools.combinations_with_replacement(sorted(rest, reverse=True), k) if sum(c) == capacity - first and not Counter(c) - rest), None)
-                if fit is None:
-                    break
-                left -= Counter([first, *fit])
-                exact += 1
-        assert abs(packing.make_plan(dict(counts), capacity).exact - exact) <= 1 + exact // 4
+    for _ in range(150):
+        capacity = r.randint(3, 24)
+        counts = dict(Counter(r.randint(1, capacity) for _ in range(r.randint(1, 60))))
+        plan = packing.make_plan(counts, capacity)
+        assert (plan.exact, sum(times for _, times in plan.kinds)) == scanned(counts, capacity)
 
 
 @needs_vocabulary
 def test_bins_hold_every_token_once(spark, monkeypatch):
-    docs = awkward(spark, [(60 + i, prose(i, 5 + i), "en", "s") for i in range(40)])
-    for rows_per_salt in (packing.ROWS_PER_SALT, 1):
+    docs = awkward(spark, [(60 + i, prose(i, 5 + i), "en", "s") for i in range(40)] + [(200 + i, "same text", "en", "s") for i in range(30)])
+    e = tokens.Encoder(tokens.VOCABULARY)
+    ender, want = e.encoding.max_token_value + 1, Counter()
+    for r in docs.collect():
+        ids = [*e.encoding.encode_ordinary(r.text or ""), ender]
+        want.update((r.doc_id, s, tuple(ids[s : s + 256])) for s in range(0, len(ids), 256))
+    bins = {}
+    for rows_per_salt in (packing.ROWS_PER_SALT, 10, 1):
         monkeypatch.setattr(packing, "ROWS_PER_SALT", rows_per_salt)
-        bins = packing.pack(docs, capacity=256).collect()
-        assert len({b.bin_id for b in bins}) == len(bins) and all(b.used == sum(b.lengths) <= 256 for b in bins)
-        pieces = Counter((d, s, n) for b in bins for d, s, n in zip(b.doc_ids, b.starts, b.lengths, strict=True))
-        e = tokens.Encoder(tokens.VOCABULARY)
-        want = Counter()
-        for r in docs.collect():
-            n = len(e.encoding.encode_ordinary(r.text or "")) + packing.END
-            want.update((r.doc_id, s, min(256, n - s)) for s in range(0, n, 256))
-        assert pieces == want
-    assert packing.pack(empty(spark)).count() == 0
+        bins[rows_per_salt] = packing.pack(docs, capacity=256).collect()
+    for rows in bins.values():
+        assert len({b.bin_id for b in rows}) == len(rows) and all(b.used == sum(b.lengths) <= 256 for b in rows)
+        got = Counter()
+        for b in rows:
+            ids, at = np.frombuffer(bytes(b.tokens), "<u4").tolist(), 0
+            assert len(ids) == b.used
+            for d, start, n in zip(b.doc_ids, b.starts, b.lengths, strict=True):
+                got[(d, start, tuple(ids[at : at + n]))] += 1
+                at += n
+        assert got == want
+    assert sorted(map(str, bins[1])) == sorted(map(str, bins[10])) == sorted(map(str, bins[packing.ROWS_PER_SALT]))
+    named = packing.pack(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), capacity=256)
+    assert dict(named.dtypes)["doc_ids"] == "array<string>" and sum(len(b.doc_ids) for b in named.collect()) == want.total()
+    for none in (empty(spark), empty(spark).selectExpr("concat('d', doc_id) AS doc_id", "text")):
+        out = packing.pack(none)
+        assert out.count() == 0 and dict(out.dtypes)["doc_ids"] == f"array<{dict(none.dtypes)['doc_id']}>"
 
 
 @needs_vocabulary
