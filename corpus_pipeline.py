@@ -14,22 +14,39 @@ from docbraid.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the divergence rules do not reject."""
+    """Documents that the divergence rules do not reject.
+
+    Null, empty and short texts stay, and so do all rows of a repeated one; any
+    column may be null, further ones are kept, no rows give no rows.
+    """
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the least id, nulls last; of equal rows one.
+
+    Null texts are copies of nothing and stay if their rows differ, empty and
+    wordless ones are copies of equal texts; further columns are kept, no rows
+    give no rows.
+    """
     return keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with live secrets replaced."""
+    """All documents, with live secrets replaced.
+
+    Null and empty texts stay as they are, repeated rows are redacted alike, a
+    null source is an owner of its own; further columns are kept, no rows give no rows.
+    """
     return redact_live(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences that hold all documents."""
+    """Token sequences that hold the redacted texts of all documents, with each piece's document and place.
+
+    Null and empty texts are one end token, repeated rows are packed as often as
+    they occur, null ids stay null; further columns play no part, no rows give no rows.
+    """
     return pack(docs)
 
 
