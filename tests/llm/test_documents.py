@@ -415,3 +415,30 @@ def test_pipeline_equals_its_brute_force(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == df.columns
     assert "[SECRET]" in docs.filter("doc_id = 901").first().text
+    e = tokens.Encoder(tokens.VOCABULARY).encoding
+    said = {d: e.decode(np.frombuffer(bytes(b.tokens), "<u4")[sum(b.lengths[:i]) :][: b.lengths[i] - 1].tolist()) for b in bins for i, d in enumerate(b.doc_ids)}
+    assert said == {r.doc_id: r.text for r in docs.collect()} and secret(5) not in "".join(said.values())
+
+
+@needs_vocabulary
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    extra = [(70, f'{prose(7, 100)} token = "{secret(5)}"', None, None), (71, "x" * 300_000, "en", "s"), (72, "MENU | HOME | ### $$$ | " * 20, None, "s")]
+    docs = awkward(spark, extra)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stages = []
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns if k < 3 else "tokens" in now.columns
+        now.write.parquet(str(tmp_path / f"{k}"))
+        stages.append(now := spark.read.parquet(str(tmp_path / f"{k}")))
+    bad = {r.doc_id for r in quality.quality_scores(docs).collect() if r.rejected}
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    assert ids(stages[0]) == Counter(i for i in ids(docs).elements() if i not in bad)
+    one = ids(stages[1])
+    assert one[1] == 1 and one[2] == 0 and one[4] == 0 and one[5] == 1 and one[None] == 2
+    assert ids(stages[2]) == one and secret(5) not in str(stages[2].collect())
+    packed = Counter(d for b in stages[3].collect() for d, s in zip(b.doc_ids, b.starts, strict=True) if s == 0)
+    assert packed == one
+    empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
