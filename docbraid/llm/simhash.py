@@ -10,7 +10,9 @@ The number of sampled bits grows with the logarithm of the number of distinct
 signatures, so that buckets keep their size, and the number of tables follows
 from both, so that a pair at exactly RADIUS shares a bucket with probability
 RECALL at least (closer pairs more). With few signatures there is one bucket and
-the search is exact. Inside a bucket all pairs are compared: signatures are
+the search is exact. A bucket of far more signatures than planned is cut into
+parts, and each two parts are compared by a task of their own, so no pair of it
+is lost. Inside a bucket all pairs are compared: signatures are
 stored as bit planes, a word operation updates 64 distances, the planes are
 added up by carry-save adders, and blocks of 64 are abandoned once all their
 distances exceed the radius.
@@ -33,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docbraid.llm import textkernel as tk
-from docbraid.llm.common import checked_broadcast, materialise, release, row_key, slices
+from docbraid.llm.common import fits, materialise, release, row_key, slices
 
 BITS, RADIUS, MIN_RATIO, RECALL = 128, 26, 0.66, 0.9
 #: Signatures that a bucket should hold.
 BUCKET = 2048
+#: Buckets over so many times that are compared in parts; they are found in a sample of one signature in SAMPLE.
+HOT, SAMPLE = 8, 64
 _SEED = 20240229
 _WORD = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -190,22 +194,28 @@ def forest(m: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 def plan(n: int, radius: int = RADIUS, bucket: int = BUCKET, recall: float = RECALL) -> tuple[int, int]:
     """(sampled bits, tables) for n signatures."""
     sampled = max(0, math.ceil(math.log2(max(1, n) / bucket)))
-    meet = (1 - radius / BITS) ** sampled
+    meet = math.comb(BITS - radius, sampled) / math.comb(BITS, sampled)  # a sample has each bit once
     return sampled, 1 if not sampled else math.ceil(math.log(1 - recall) / math.log1p(-meet))
 
 
-def _edges(nodes: DataFrame, n: int) -> DataFrame:
-    """(a, b): near-duplicate nodes, a spanning forest for each bucket."""
+def samples(n: int) -> list[np.ndarray]:
+    """The bits of each table."""
     sampled, tables = plan(n)
     draw = np.random.default_rng(_SEED)
-    places = [np.sort(draw.choice(BITS, sampled, replace=False)) for _ in range(tables)]
+    return [np.sort(draw.choice(BITS, sampled, replace=False)) for _ in range(tables)]
+
+
+def _edges(nodes: DataFrame, n: int) -> DataFrame:
+    """(a, b): near-duplicate nodes, a spanning forest for each bucket or pair of its parts."""
+    places = samples(n)
+    tables = len(places)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column("node")
             flags = np.unpackbits(_rows(node)[:, :16], axis=1)
             for t, place in enumerate(places):
-                key = flags[:, place].astype(np.int64) @ (1 << np.arange(sampled, dtype=np.int64)) if sampled else np.zeros(len(node), np.int64)
+                key = flags[:, place].astype(np.int64) @ (1 << np.arange(len(place), dtype=np.int64)) if len(place) else np.zeros(len(node), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key * tables + t), node], ["bucket", "node"])
 
     def compare(group: pa.Table) -> pa.Table:
@@ -225,7 +235,19 @@ def _edges(nodes: DataFrame, n: int) -> DataFrame:
         return pa.table({"a": items(raw[own]), "b": items(raw[root[own]])})
 
     buckets = nodes.mapInArrow(spread, "bucket long, node binary")
-    return buckets.groupBy("bucket").applyInArrow(compare, "a binary, b binary").distinct()
+    some = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).mapInArrow(spread, "bucket long, node binary")
+    sizes = some.groupBy("bucket").agg((F.count("*") * SAMPLE).alias("size")).filter(F.col("size") > HOT * BUCKET)
+    hot = materialise(sizes.select("bucket", F.ceil(2 * F.col("size") / (HOT * BUCKET)).alias("parts")))
+    one = F.lit(0).cast("long")
+    if hot.isEmpty():
+        cells = buckets.withColumns({"low": one, "high": one})
+    else:
+        joined = buckets.join(F.broadcast(hot) if fits(hot, 24) else hot, "bucket", "left").withColumn("own", F.pmod(F.xxhash64(F.lit(_SEED), "node"), F.col("parts")))
+        others = F.filter(F.sequence(one, F.col("parts") - 1), lambda x: x != F.col("own"))
+        apart = joined.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(one)).otherwise(others)))
+        side = F.coalesce("own", one)
+        cells = apart.select("bucket", "node", F.least(side, "other").alias("low"), F.greatest(side, "other").alias("high"))
+    return cells.groupBy("bucket", "low", "high").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def _rows(node: pa.Array) -> np.ndarray:
@@ -299,16 +321,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """docs with one row of each group, and all columns of docs.
 
     The rows to drop are found by key; only if their keys are too many to
-    broadcast is the text of docs shuffled. Of rows that repeat in full (id and
-    text), one stays.
+    broadcast is the text of docs shuffled. Of rows that repeat in id and text,
+    the one whose other columns are least, written as JSON, stays. A null text is
+    never a copy of another row; empty and wordless texts are copies of equal
+    texts only. An empty table gives an empty result.
     """
     members = materialise(_members(docs, doc_id, text).select("k1", "k2", "copies", "kept"))
-    drop = checked_broadcast(members.filter(~F.col("kept") | (F.col("copies") > 1)), 32)
+    drop = materialise(members.filter(~F.col("kept") | (F.col("copies") > 1)))
+    hint = F.broadcast if fits(drop, 32) else lambda table: table
     k1, k2 = row_key(F.col(doc_id), F.col(text))
     keyed = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
-    single = keyed.join(drop, ["k1", "k2"], "left_anti").select("row.*")
+    single = keyed.join(hint(drop), ["k1", "k2"], "left_anti").select("row.*")
     repeated = drop.filter("kept")
     if repeated.isEmpty():
         return single
-    again = keyed.join(F.broadcast(repeated.select("k1", "k2")) if drop.count() * 32 <= 32 << 20 else repeated.select("k1", "k2"), ["k1", "k2"], "left_semi")
-    return single.unionByName(again.dropDuplicates(["k1", "k2"]).select("row.*"))
+    again = keyed.join(hint(repeated.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    one = again.groupBy("k1", "k2").agg(F.min_by("row", F.to_json(F.col("row").dropFields(text))).alias("row"))
+    return single.unionByName(one.select("row.*"))

@@ -9,6 +9,7 @@ or characters in Python, and null texts behave as empty ones.
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 from dataclasses import dataclass
 
@@ -18,7 +19,9 @@ import pyarrow.compute as pc
 
 UPPER, LOWER, LETTER, DIGIT, SPACE, SENTENCE, PUNCT, SYMBOL, OTHER = range(9)
 N_CLASSES = 9
-_TABLE = 0x20000
+_TABLE = 0x110000
+#: The code points that may be assigned: three planes, and the tags and variation selectors of the fifteenth.
+_ASSIGNED = (range(0x32400), range(0xE0000, 0xE0200))
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -28,7 +31,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind = np.full(_TABLE, OTHER, np.uint8)
     low = np.arange(_TABLE, dtype=np.uint32)
     word = np.zeros(_TABLE, bool)
-    for cp in range(_TABLE):
+    for cp in itertools.chain(*_ASSIGNED):
         ch = chr(cp)
         cat = unicodedata.category(ch)
         if cat == "Lu":
@@ -114,7 +117,7 @@ def words(points: np.ndarray, offsets: np.ndarray) -> Words:
     """Cuts texts into runs of letters, marks and digits; hashes are case-blind."""
     n = len(offsets) - 1
     _, _, is_word = tables()
-    inside = is_word[np.minimum(points, _TABLE - 1)]
+    inside = is_word[points]
     at = np.flatnonzero(inside)
     if not len(at):
         return Words(np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(n + 1, np.int64), n)
@@ -127,7 +130,7 @@ def words(points: np.ndarray, offsets: np.ndarray) -> Words:
     size = np.diff(np.append(first, len(at)))
     place = np.arange(len(at)) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        value = _char_values()[np.minimum(points[at], _TABLE - 1)] * _powers(int(size.max()))[place]
+        value = _char_values()[points[at]] * _powers(int(size.max()))[place]
         sums = np.add.reduceat(value, first)
     owner = np.searchsorted(offsets, at[first], side="right") - 1
     counts = np.bincount(owner, minlength=n)
@@ -148,5 +151,5 @@ def class_histogram(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     kind, _, _ = tables()
     owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-    keys = owner * N_CLASSES + kind[np.minimum(points, _TABLE - 1)]
+    keys = owner * N_CLASSES + kind[points]
     return np.bincount(keys, minlength=n * N_CLASSES).reshape(n, N_CLASSES)

@@ -84,11 +84,74 @@ def test_signature_is_the_majority_of_pair_bits():
     assert (np.unpackbits(bits[0]) == (votes > 0)).all()
 
 
-def test_plan_keeps_recall_at_every_size():
-    for n in (10, 10_000, 10**6, 10**9, 10**11):
-        b, tables = simhash.plan(n)
-        assert 1 - (1 - (1 - simhash.RADIUS / simhash.BITS) ** b) ** tables >= simhash.RECALL
-        assert n / 2**b <= simhash.BUCKET
+@pytest.mark.parametrize("n", [10, 10_000, 10**6, 10**8])
+def test_samples_keep_recall_at_every_size(n):
+    """Pairs at the very radius, counted: how many share the sampled bits of some table."""
+    r = np.random.default_rng(n)
+    assert n / 2 ** simhash.plan(n)[0] <= simhash.BUCKET
+    differ = np.zeros((20_000, simhash.BITS), bool)
+    differ[:, : simhash.RADIUS] = True
+    differ = r.permuted(differ, axis=1)
+    met = np.zeros(len(differ), bool)
+    for place in simhash.samples(n):
+        met |= ~differ[:, place].any(axis=1)
+    assert met.mean() >= simhash.RECALL - 0.01
+
+
+def signatures_with_copies(seed, n, far):
+    r = np.random.default_rng(seed)
+    bits = r.integers(0, 2, (n, simhash.BITS), dtype=np.uint8)
+    for i in range(0, n // 2, 2):
+        bits[i + 1] = bits[i]
+        bits[i + 1, r.permutation(simhash.BITS)[: r.integers(1, far + 1)]] ^= 1
+    return bits
+
+
+def nodes_of(spark, bits):
+    size = (40).to_bytes(4, "big")
+    return spark.createDataFrame([(x.tobytes() + size,) for x in np.packbits(bits, axis=1)], "node binary")
+
+
+def joined(edges):
+    """Pairs that share a component."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    return find
+
+
+def recall(spark, bits):
+    packed = [x.tobytes() + (40).to_bytes(4, "big") for x in np.packbits(bits, axis=1)]
+    flat = bits.astype(np.int16)
+    d = flat @ (1 - flat).T
+    d = d + d.T
+    want = [(packed[i], packed[j]) for i, j in zip(*np.nonzero(np.triu(d <= simhash.RADIUS, 1)), strict=True)]
+    found = [(bytes(e.a), bytes(e.b)) for e in simhash._edges(nodes_of(spark, bits), len(bits)).collect()]
+    assert set(map(frozenset, found)) <= set(map(frozenset, want))
+    find = joined(found)
+    return np.mean([find(a) == find(b) for a, b in want])
+
+
+def test_search_recalls_pairs_of_all_distances(spark, monkeypatch):
+    assert recall(spark, signatures_with_copies(1, 1000, simhash.RADIUS)) == 1
+    monkeypatch.setattr(simhash, "BUCKET", 32)
+    monkeypatch.setattr(simhash.plan, "__defaults__", (simhash.RADIUS, 32, simhash.RECALL))
+    assert simhash.plan(2000)[0] == 6
+    assert recall(spark, signatures_with_copies(2, 2000, simhash.RADIUS)) >= simhash.RECALL
+
+
+def test_hot_buckets_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    monkeypatch.setattr(simhash, "HOT", 1)
+    monkeypatch.setattr(simhash, "BUCKET", 50)
+    assert simhash.plan(600)[0] == 0
+    assert recall(spark, signatures_with_copies(3, 600, simhash.RADIUS)) == 1
 
 
 def test_components_match_union_find(spark):
@@ -151,14 +214,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(got[100 + i] == got[200 + i] == i and got[300 + i] == 300 + i for i in range(60))
 
 
-def test_bucketed_search_recalls_pairs(spark, monkeypatch):
-    rows = copies(spark)
+def test_letters_of_the_further_planes_make_words(spark):
+    han = "".join(chr(0x20000 + 37 * i) for i in range(30))
+    text = " ".join(han[i : i + 3] for i in range(0, 30, 3)) * 6
+    rows = [(1, text, "zh", "s"), (2, text.replace(" ", "  ", 1), "zh", "s"), (3, "\U000E0100" + prose(1), "en", "s"), (4, "\U0010FFFF \U0001F600 x", "en", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    nodes = simhash.materialise(docs.select("text").distinct())
-    monkeypatch.setattr(simhash, "plan", lambda n: (4, 9))
-    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()}
-    found = sum(got[100 + i] == i for i in range(60))
-    assert nodes.count() and found >= 54
+    same(quality.quality_scores(docs), quality.ORACLE, docs)
+    assert {r.doc_id: r.n_words for r in quality.quality_scores(docs).collect()}[1] == 55
+    assert {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_the_row_kept_does_not_depend_on_the_order(spark):
+    rows = [(1, prose(1), lang, s) for lang in ("en", "de", None) for s in ("b", "a", None)]
+    kept = set()
+    for k in range(3):
+        docs = spark.createDataFrame(rows[3 * k :] + rows[: 3 * k], "doc_id long, text string, lang string, source string").repartition(k + 1)
+        kept.add(tuple(map(str, simhash.keep_one(docs).collect())))
+    assert len(kept) == 1
 
 
 def test_near_duplicates_of_awkward_rows(spark):
