@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.functions import lit as tk_lit
 
 import corpus_pipeline
 from docbraid.llm import packing, pii, quality, secrets, simhash, tokens
@@ -55,6 +56,25 @@ def test_quality_matches_sql(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - sum(r.rejected for r in got.collect())
 
 
+def test_junk_is_not_its_own_reference(spark):
+    """Two fifths junk: held against prose, whether that comes from a trusted table or from the nearer half."""
+    junk = [(100 + i, "MENU | HOME | ABOUT | ### $$$ | " * 20, "en", "s") for i in range(24)]
+    docs = spark.createDataFrame([(i, prose(i, 120), "en", "s") for i in range(36)] + junk, "doc_id long, text string, lang string, source string")
+    trusted = spark.createDataFrame([(prose(500 + i, 200), "en") for i in range(20)] + [(None, "en"), ("", "fr")], "text string, lang string")
+    same(quality.quality_scores(docs), quality.ORACLE, docs)
+    for got in (quality.quality_scores(docs), quality.quality_scores(docs, trusted=trusted)):
+        assert {r.doc_id for r in got.collect() if r.rejected} == {r[0] for r in junk}
+    other = quality.quality_scores(docs.withColumn("lang", tk_lit("pt")), trusted=trusted).collect()
+    assert len(other) == 60 and not any(r.rejected or r.class_distance for r in other)
+    assert quality.keep_good(docs, trusted=trusted).count() == 36
+
+
+def test_distance_is_the_root_of_the_divergence():
+    a, b = np.array([[1, 0], [1, 1], [3, 1], [0, 0]]), np.array([[0, 1], [1, 1], [1, 3], [1, 1]])
+    got = np.sqrt(quality._jsd(a, b))
+    assert np.allclose(got[:2], [1, 0]) and got[3] == 0 and 0.4 < got[2] < 0.5
+
+
 def test_bit_slices_equal_brute_force():
     r = np.random.default_rng(0)
     for m in (0, 1, 2, 63, 64, 65, 200):
