@@ -1,4 +1,5 @@
 import os
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,89 @@ def test_visible_text(page, want):
     assert htmltext.page_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td>C<td>c1</table>", "A | b1\n  | b2\nC | c1"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f</table>", "a | b | c\nd |   | e\nf"),
+        ("<table><tr><td colspan=2 rowspan=2>x<td>1<tr><td>2<tr><td>p<td>q<td>3</table>", "x     | 1\n  |   | 2\np | q | 3"),
+        ("<table><tr><td>日本<td>x<tr><td>abcdef<td>y<tr><td>e\u0301<td>z</table>", "日本   | x\nabcdef | y\ne\u0301      | z"),
+        ("<div style='visibility:hidden'>no<span style='visibility:visible'>yes</span></div>z", "yes\nz"),
+        ("<ul style='visibility: hidden'><li>no</ul>z", "z"),
+        ("<style>.x{display:none} #k, b.y {visibility:hidden}</style><p class='x y'>no<p id=k>no<p><b class=y>no</b>yes", "yes"),
+        ("<style>/* .q{display:none} */ @media print {.q{display:none}} @media screen {.r{display:none}} p .q{display:none}</style><p class=q>q<p class=r>r", "q"),
+        ("<style>.x{display:none}</style><p class=x style='display:block'>in<style>#a{display:block!important}</style><p id=a class=x style='display:none'>important", "in\n\nimportant"),
+        ("<p hidden style='display:block'>shown", "shown"),
+        ("<input type=submit value='Go now'><input value=typed><input type=password value=no><input type=search placeholder=hint>", "Go nowtypedhint"),
+        ("<pre>\n a\n  b</pre>", " a\n  b"),
+        ("<head><title>t</title><span>seen</span>", "seen"), ("<head><meta x>text here", "text here"), ("<head><template><div>no</div></template></head>x", "x"),
+        ("<svg><title>no</title><desc>no</desc><text>label</text></svg><math><mi>x</mi></math>", "label\nx"),
+        ("<a href='x>y'>q</a>", "q"), ("<a title=it's>ok</a>", "ok"), ('<a "x>y', "y"), ("a < b <1> c", "a < b <1> c"), ("x<!-- never closed", "x"), ("x</", "x"),
+    ],
+)
+def test_rules_of_visibility_and_layout(page, want):
+    assert htmltext.page_text(page) == want
+
+
+@pytest.mark.parametrize("page", ['<a ' + '"x" ' * 150_000, "<a " * 200_000, '<a href="' * 70_000, "<script>" + "</script " * 70_000, "<p><button>" + "<b>" * 40_000 + "<div>" * 40_000, "<a " * 100_000 + '="">' + ' ="', "<style>" + "a{" * 100_000 + "</style><p>x",
+                                  "<style>" + "/*" * 200_000, "<!--" * 100_000, "<table>" + "<tr><td rowspan=9999 colspan=5>x" * 8_000, "<table><tr><td>" + "long " * 60_000 + "<tr><td>a<td>b" * 8_000, "<table><tr>" + "<td colspan=1000>x" * 20_000])
+def test_broken_pages_take_no_longer_than_they_are_long(page):
+    import time
+
+    start = time.thread_time()
+    text = htmltext.page_text(page)
+    assert time.thread_time() - start < 20 and len(text) < 70 * len(page)
+
+
+def plain_words(page):
+    """Brute force: the words of a page by the standard library's parser, without layout."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag == "br":
+                self.out.append(" ")
+            if tag not in htmltext.VOID:
+                self.stack.append((tag, tag in htmltext.INVISIBLE or "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "")))
+                self.out.append(" " if tag in htmltext.BLOCK or tag in ("td", "th") else "")
+
+        def handle_endtag(self, tag):
+            at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+            if at is not None:
+                del self.stack[at:]
+                self.out.append(" " if tag in htmltext.BLOCK or tag in ("td", "th") else "")
+
+        def handle_data(self, data):
+            if not any(off for _, off in self.stack):
+                self.out.append(data)
+
+    w = Words()
+    w.feed(page or "")
+    w.close()
+    return "".join(w.out).split()
+
+
+def marks_off(words):
+    import re
+
+    return Counter(w for w in words if not re.fullmatch(r"-|\d+\.|\|", w))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no tables")
+def test_every_page_shows_the_words_of_the_plain_parser():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        assert marks_off(htmltext.page_text(page).split()) == marks_off(plain_words(page))
+    assert len(pages) > 200
+
+
 def test_depth_and_breakage_are_no_limit():
     for page in ["<div>" * 20000 + "x", "<li>" * 3000, "<table><tr><td>" * 300 + "x", "<b>" * 5000 + "</b>" * 5000]:
         htmltext.page_text(page)
