@@ -3,8 +3,14 @@
 An entity's surrogate is a keyed permutation of the values of its own format:
 digits become digits, vowels vowels and consonants consonants of the same case
 and alphabet, a first name another one of the same gender and script, a card
-number keeps its issuer digit and its check property, an address stays private
-or public. The same entity has the same surrogate wherever it occurs, and
+number keeps its issuer digit and its check property, a bank account its country
+and length with the right check digits, a phone number its country, an address
+stays private or public and keeps its zero groups. Found are e-mail and IP
+addresses of both versions, card, IBAN, US social security and phone numbers
+(national 3-3-4 groups, or any groups after + and a country code), full names that
+begin with a listed first name, and names after a title, which shows the gender
+and stays. Who holds the key can undo all of it, so every function takes it from
+the caller. The same entity has the same surrogate wherever it occurs, and
 different entities of a format have different ones, because a permutation
 cannot map two values to one.
 
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable
@@ -32,13 +39,12 @@ from pyspark.sql.window import Window
 
 from docbraid.llm.common import checked_broadcast, materialise, row_key
 
-KEY = b"docbraid surrogate key 1"
 #: After so many tries the entities still open get the free values of their format by rank.
 MAX_ATTEMPTS = 16
 
 FIRST_NAMES: dict[tuple[str, str], tuple[str, ...]] = {
-    ("f", "latin"): tuple("emma olivia sophia isabella charlotte amelia emily elizabeth margaret katherine barbara jessica sarah karen lisa nancy sandra ashley kimberly donna michelle carol amanda melissa deborah stephanie rebecca laura cynthia kathleen angela brenda pamela nicole samantha julia claudia ursula sabine petra monika heike camille chloé manon juliette margaux valérie nathalie isabelle carmen lucía paula beatriz dolores pilar rosario".split()),
-    ("m", "latin"): tuple("james robert michael william david richard joseph thomas charles christopher matthew anthony steven andrew kenneth joshua kevin brian george timothy ronald jason edward jeffrey ryan jacob nicholas jonathan stephen gregory benjamin samuel patrick alexander frank dennis wolfgang jürgen klaus dieter stefan thorsten pierre jacques philippe françois antoine étienne gérard carlos miguel javier fernando alejandro francisco ignacio rodrigo".split()),
+    ("f", "latin"): tuple("emma olivia sophia isabella charlotte amelia emily elizabeth margaret katherine barbara jessica sarah karen lisa nancy sandra ashley kimberly donna michelle carol amanda melissa deborah stephanie rebecca laura cynthia kathleen angela brenda pamela nicole samantha julia claudia ursula sabine petra monika heike camille chloé manon juliette margaux valérie nathalie isabelle carmen lucía paula beatriz dolores pilar rosario priya ananya lakshmi sunita kavita deepika aishwarya fatima aisha khadija zainab maryam yasmin noura mei xiuying yuki sakura haruka nguyet thuy linh agnieszka katarzyna małgorzata joanna zuzanna giulia chiara francesca valentina alessandra ayşe zeynep elif amara chiamaka adaeze wanjiku ingrid astrid freya johanna mariana gabriela camila juliana".split()),
+    ("m", "latin"): tuple("james robert michael william david richard joseph thomas charles christopher matthew anthony steven andrew kenneth joshua kevin brian george timothy ronald jason edward jeffrey ryan jacob nicholas jonathan stephen gregory benjamin samuel patrick alexander frank dennis wolfgang jürgen klaus dieter stefan thorsten pierre jacques philippe françois antoine étienne gérard carlos miguel javier fernando alejandro francisco ignacio rodrigo rahul amit sanjay rajesh vikram arjun suresh ramesh mohammed muhammad ahmed hassan hussein omar youssef abdullah khalid hiroshi takashi kenji haruto wei jian zhiwei xiaoming nguyễn minh piotr krzysztof tomasz andrzej marek giovanni giuseppe alessandro matteo lorenzo mehmet mustafa emre chinedu emeka kwame kofi lars anders henrik bjørn joão thiago gustavo rafael".split()),
     ("f", "cyrillic"): tuple("анна мария елена ольга наталья татьяна ирина светлана екатерина юлия людмила галина дарья полина ксения".split()),
     ("m", "cyrillic"): tuple("александр сергей дмитрий андрей алексей михаил иван николай владимир евгений павел максим олег виктор юрий".split()),
     ("f", "greek"): tuple("μαρία ελένη κατερίνα βασιλική σοφία αγγελική γεωργία δήμητρα ιωάννα παναγιώτα".split()),
@@ -55,17 +61,28 @@ ALPHABETS = (
 _CLASS = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 
 _NAMES = "|".join(sorted({f for n in _GENDER for f in (n.capitalize(), n.upper())}, key=len, reverse=True))
+_L = "A-Za-z0-9À-ÖØ-öø-ɏͰ-ӿ"  # letters of addresses
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}\b)"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
-    r"|(?P<card>(?<![\w-])\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{4}(?![\w-]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))",
-    re.ASCII,
+    rf"(?P<email>(?<![\w.+-])[{_L}_+-]+(?:\.[{_L}_+-]+)*@[{_L}-]+(?:\.[{_L}-]+)*\.[A-Za-zÀ-ɏͰ-ӿ]{{2,24}}(?!\w))"
+    r"|(?P<ipv6>(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))"
+    r"|(?P<ip>(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9.]*[0-9]))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<card>(?<![\w-])[0-9]{4}(?P<gap>[ -]?)[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}(?![\w-]))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"
+    r"|(?<![\w+])\+[1-9][0-9]{0,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){1,6}(?![\w-]))",
 )
-NAME = re.compile(rf"(?<!\w)(?:{_NAMES}) [^\W\d_a-zà-ÿа-яα-ω][^\W\d_]{{2,}}(?:-[^\W\d_]{{3,}})?(?!\w)")
+_KINDS = ("email", "ipv6", "ip", "iban", "card", "ssn", "phone")
+_BIG = r"[^\W\d_a-zà-ÿа-яα-ω]"
+_WORD = rf"{_BIG}(?:['’]{_BIG})?[^\W\d_]+(?:[-'’][^\W\d_]{{2,}})*"
+NAME = re.compile(rf"(?<!\w)(?:{_NAMES}) {_WORD}(?!\w)")
+_TITLES = r"Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Prof\.?|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|г-н|г-жа|κ\."
+#: A title and one to three capitalised words; the words are the entity.
+TITLED = re.compile(rf"(?<!\w)(?:{_TITLES}) ({_WORD}(?: {_WORD}){{0,2}})(?!\w)")
+#: Calling codes of one and two digits; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Every entity matches this (RE2, over a whole batch); other texts meet no Python.
-MAYBE = rf"[0-9@]|(?:{_NAMES}) "
+MAYBE = rf"[0-9@]|::|(?:{_NAMES}|{_TITLES}) "
 
 
 def permute(x: int, n: int, key: bytes, tweak: str) -> int:
@@ -124,6 +141,23 @@ def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
+def check_digits(country: str, account: str) -> str:
+    """The two digits that make a bank account number valid."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
+
+
+def _groups(ip: str) -> list[int]:
+    return [int(x, 16) for x in ip.split(":")]
+
+
+def _national(phone: str) -> str:
+    """The digits without + and the calling code, ten at most."""
+    digits = re.sub(r"\D", "", phone)
+    if phone.startswith("+"):
+        digits = digits[next((n for n in (1, 2) if digits[:n] in _CODES), 3) :]
+    return digits[-10:]
+
+
 def _kept(ip: str) -> int:
     """How many leading octets of an address stay: those that make it private, local or special."""
     a, b, *_ = map(int, ip.split("."))
@@ -142,10 +176,16 @@ def canonical(kind: str, found: str) -> str:
     """What all spellings of one entity share."""
     if kind == "email":
         return found.lower()
-    if kind in ("card", "ssn", "phone"):
-        return re.sub(r"\D", "", found)[-10:] if kind == "phone" else re.sub(r"\D", "", found)
+    if kind == "phone":
+        return _national(found)
+    if kind in ("card", "ssn"):
+        return re.sub(r"\D", "", found)
+    if kind == "iban":
+        return found.replace(" ", "")
     if kind == "ip":
         return ".".join(str(int(x)) for x in found.split("."))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(found).exploded
     return " ".join(found.lower().split())
 
 
@@ -169,6 +209,16 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
             return ".".join(map(str, [*octets[:kept], *x.to_bytes(4 - kept)]))
 
         return _walk(entity, step, _kept)
+    if kind == "iban":
+        account = recast(entity[4:], key, f"{tweak}|{entity[:2]}")
+        return f"{entity[:2]}{check_digits(entity[:2], account)}{account}"
+    if kind == "ipv6":
+        groups = _groups(entity)
+        some = [i for i in range(1, 8) if groups[i]]  # the first group, which tells the scope, and zeros stay
+        x = sum((groups[i] - 1) * 65535**k for k, i in enumerate(some))
+        return _ipv6(groups, some, permute(x, 65535 ** len(some), key, f"{tweak}|{groups[0]}|{some}"))
+    if kind == "person":  # as the surname of a full name, so that one is known by the other
+        return recast(entity, key, f"name|{attempt}")
     if kind == "name":
         first, last = entity.split(" ", 1)
         group, i = _GENDER[first]
@@ -178,6 +228,15 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     return recast(entity, key, tweak)
 
 
+def _ipv6(groups: list[int], some: list[int], x: int) -> str:
+    """The address with the x-th values that are not zero at these groups."""
+    new = list(groups)
+    for i in some:
+        x, part = divmod(x, 65535)
+        new[i] = part + 1
+    return ":".join(f"{g:04x}" for g in new)
+
+
 def cell(kind: str, entity: str) -> str:
     """What a canonical form shares with all those that could take its place."""
     if kind == "email":
@@ -187,6 +246,10 @@ def cell(kind: str, entity: str) -> str:
         return f"{entity[0]}|{len(entity)}|{luhn(entity)}"
     if kind == "ip":
         return ".".join(entity.split(".")[: _kept(entity)])
+    if kind == "iban":
+        return entity[:2] + shape(entity[4:])
+    if kind == "ipv6":
+        return f"{entity[:4]}{[bool(g) for g in _groups(entity)]}"
     if kind == "name":
         first, last = entity.split(" ", 1)
         return f"{first} {shape(last)}"
@@ -200,7 +263,9 @@ def room(kind: str, entity: str) -> int:
     if kind == "ip":
         kept = _kept(entity)
         return 1 << 8 * (4 - kept) if kept else len(_public()) << 16
-    varied = entity.rsplit("@", 1)[0] if kind == "email" else entity.split(" ", 1)[1] if kind == "name" else entity
+    if kind == "ipv6":
+        return 65535 ** sum(map(bool, _groups(entity)[1:]))
+    varied = entity[4:] if kind == "iban" else entity.rsplit("@", 1)[0] if kind == "email" else entity.split(" ", 1)[1] if kind == "name" else entity
     return math.prod(len(_CLASS[c][0]) for c in varied if c in _CLASS)
 
 
@@ -221,6 +286,12 @@ def ranked(kind: str, entity: str, key: bytes, rank: int) -> str:
         kept = _kept(new)
         head = list(map(int, new.split(".")[:kept])) if kept else list(_public()[x >> 16].to_bytes(2))
         return ".".join(map(str, [*head, *(x if kept else x & 65535).to_bytes(4 - len(head))]))
+    if kind == "iban":
+        account = _filled(new[4:], x)
+        return f"{new[:2]}{check_digits(new[:2], account)}{account}"
+    if kind == "ipv6":
+        groups = _groups(new)
+        return _ipv6(groups, [i for i in range(1, 8) if groups[i]], x)
     if kind == "name":
         first, last = new.split(" ", 1)
         return f"{first} {_filled(last, x)}"
@@ -238,10 +309,21 @@ def dress(kind: str, found: str, new: str) -> str:
             else:
                 out.append(digits.pop(0) if c.isdigit() else c)
         return "".join(out)
-    if kind == "name":
+    if kind == "iban":
+        chars = iter(new)
+        return "".join(c if c == " " else next(chars) for c in found)
+    if kind == "ipv6":
+        parts = found.split(":")
+        short = str(ipaddress.IPv6Address(new)) if "::" in found else new if all(len(x) == 4 for x in parts) else ":".join(f"{g:x}" for g in _groups(new))
+        return short.upper() if found.upper() == found and found.lower() != found else short
+    if kind == "email":
+        if len(found) != len(new):
+            return new
+        return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(found, new, strict=True))
+    if kind in ("name", "person"):
         cased = []
-        for old, part in zip(found.split(" ", 1), new.split(" ", 1), strict=True):
-            cased.append(part.upper() if old.isupper() else part if old.islower() else "-".join(x[:1].upper() + x[1:] for x in part.split("-")))
+        for old, part in zip(found.split(), new.split(), strict=True):
+            cased.append(part.upper() if old.isupper() else part if old.islower() else re.sub(r"(?:^|[-'’])\w", lambda m: m[0].upper(), part))
         return " ".join(cased)
     return new
 
@@ -250,8 +332,11 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, as written) of all entities of a text, in order, without overlaps."""
     if not text:
         return []
-    found = [(m.start(), m.end(), _kind(m), m[0]) for m in PATTERN.finditer(text)]
+    found = [(m.start(), m.end(), kind, m[0]) for m in PATTERN.finditer(text) if _valid(kind := _kind(m), m[0])]
     names = [(m.start(), m.end(), "name", m[0]) for m in NAME.finditer(text)]
+    for m in TITLED.finditer(text):
+        first, _, rest = m[1].partition(" ")
+        names.append((m.start(1), m.end(1), "name" if rest and first.lower() in _GENDER else "person", m[1]))
     out: list[tuple[int, int, str, str]] = []
     for x in sorted(found + names):
         if not out or x[0] >= out[-1][1]:
@@ -264,7 +349,22 @@ def _possible(texts: pa.Array) -> list[bool]:
 
 
 def _kind(m: re.Match) -> str:
-    return next(k for k in ("email", "ip", "card", "ssn", "phone") if m[k] is not None)
+    return next(k for k in _KINDS if m[k] is not None)
+
+
+def _valid(kind: str, found: str) -> bool:
+    """Whether what looks like an entity is one."""
+    if kind == "iban":
+        bare = found.replace(" ", "")
+        return 15 <= len(bare) <= 34 and check_digits(bare[:2], bare[4:]) == bare[2:4]
+    if kind == "ipv6":
+        if sum(c != ":" for c in found) < 5 or not any(c.isdigit() for c in found):
+            return False
+        try:
+            return ipaddress.IPv6Address(found) is not None
+        except ValueError:
+            return False
+    return kind != "phone" or 8 <= sum(c.isdigit() for c in found) <= 15
 
 
 def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, int]:
@@ -332,7 +432,7 @@ def _by_rank(still: DataFrame, blocked: DataFrame, key: bytes) -> DataFrame:
     return materialise(placed.withColumn("n", order("entity")).join(free, ["kind", "cell", "n"]).select("kind", "entity", "attempt"))
 
 
-def retries(found: DataFrame, key: bytes = KEY) -> DataFrame | None:
+def retries(found: DataFrame, key: bytes) -> DataFrame | None:
     """(kind, entity, attempt) for entities whose first surrogate is real or taken; None if there are none.
 
     found has the distinct (kind, entity, new) of the corpus. Each round is a
@@ -368,8 +468,8 @@ def retries(found: DataFrame, key: bytes = KEY) -> DataFrame | None:
     return done.unionByName(_by_rank(still, real.unionByName(taken), key))
 
 
-def pseudonymise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: bytes = KEY) -> DataFrame:
-    """(doc_id, text, n_entities): every text with surrogates in place of its personal data.
+def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, n_entities): every text with surrogates, under the caller's secret key, in place of its personal data.
 
     Null texts stay null with 0 entities; texts without entities stay as they
     are. Very long texts are searched whole. Every row of docs is returned,
@@ -402,5 +502,5 @@ def pseudonymise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         return finish(rows, none)
     item = F.struct("kind", "entity", "attempt")
     lists = holding.join(again, ["kind", "entity"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(item)).alias("again"))
-    lists = checked_broadcast(lists, 200)
+    lists = checked_broadcast(lists, 64 + F.length(F.to_json("again")))
     return finish(rows.join(lists, ["k1", "k2"], "left"), F.col("again"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_bytes
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ def op4_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_read(spark, sf_dir, "documents"))
+    """The key comes from the session; without one it is drawn anew, and the surrogates of this run can't be undone."""
+    key = spark.conf.get("spark.docbraid.surrogate.secret", None)
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"), key.encode() if key else token_bytes(32))
 
 
 def op6_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -345,7 +345,7 @@ def test_surrogates_keep_type_gender_script_and_coreference():
     found = pii.entities(new)
     assert [k for _, _, k, _ in found] == [k for _, _, k, _ in pii.entities(text)]
     v = [x for *_, x in found]
-    assert v[0] == v[1].lower() and v[2][-8:] == v[3][-8:] and v[4].startswith("10.") and pii.luhn(v[5].replace(" ", "")) and v[7].upper() == v[8]
+    assert v[0].lower() == v[1] and v[0][0].isupper() and v[0][4].isupper() and v[2][-8:] == v[3][-8:] and v[4].startswith("10.") and pii.luhn(v[5].replace(" ", "")) and v[7].upper() == v[8]
     gender = lambda s: pii._GENDER[s.split(" ")[0].lower()][0]
     assert gender(v[7]) == ("f", "latin") and gender(v[9]) == ("m", "latin") and gender(v[10]) == ("f", "cyrillic")
     for _, _, _, old in pii.entities(text):
@@ -380,7 +380,7 @@ def test_crowded_formats_use_all_free_values(spark, n, apart):
 
 
 def test_ranked_values_are_those_of_the_format():
-    cases = [("email", "a1@x.io"), ("email", "bo@müll.de"), ("ip", "192.168.3.4"), ("ip", "10.1.2.3"), ("ip", "8.8.8.8"), ("card", "4111111111111111"), ("card", "4111111111111112"), ("ssn", "123456789"), ("phone", "2025550123"), ("name", "emma wu")]
+    cases = [("email", "a1@x.io"), ("email", "bo@müll.de"), ("ip", "192.168.3.4"), ("ip", "10.1.2.3"), ("ip", "8.8.8.8"), ("card", "4111111111111111"), ("card", "4111111111111112"), ("ssn", "123456789"), ("phone", "2025550123"), ("name", "emma wu"), ("person", "okafor"), ("iban", "DE89370400440532013000"), ("ipv6", "2001:0db8:0000:0000:0008:0800:200c:417a"), ("ipv6", "fe80:0000:0000:0000:0000:0000:0000:01c2")]
     for kind, e in cases:
         own = pii.surrogate(kind, e, b"k")
         some = [pii.ranked(kind, e, b"k", i) for i in range(min(pii.room(kind, own), 300))]
@@ -397,14 +397,83 @@ def test_retries_keep_surrogates_apart_from_real_values(spark):
     assert len(set(final.values())) == len(entities) and attempts and not set(final.values()) & set(entities)
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("DE89 3704 0044 0532 0130 00", ["iban"]), ("GB82WEST12345698765432.", ["iban"]), ("DE00 3704 0044 0532 0130 00", []), ("2001:db8:0:0:8:800:200c:417a", ["ipv6"]), ("2001:DB8::8:800:200C:417A", ["ipv6"]), ("fe80::1c2", ["ipv6"]),
+        ("at 12:30:45, std::ab::c", []), ("+44 20 7946 0958", ["phone"]), ("+49 30 901820", ["phone"]), ("+33 6 12 34 56 78", ["phone"]), ("+34 912 345 678", ["phone"]), ("+91 (22) 1234-5678", ["phone"]), ("a +1 2 b", []),
+        ("josé.55@mail3.example.com", ["email"]), ("müller@firma.de", ["email"]), ("James Wu", ["name"]), ("Priya Sharma, Wei Zhang, Fatima Khan", ["name"] * 3), ("Dr. Nkechi Okafor", ["person"]), ("Mrs. O'Brien", ["person"]), ("Dr. James Stone", ["name"]),
+        ("Herr Öztürk", ["person"]), ("Frau ist da", []), ("I spoke to James", []),
+    ],
+)
+def test_entities_of_many_countries(text, kinds):
+    found = pii.entities(text)
+    assert [k for _, _, k, _ in found] == kinds
+    new, n = pii.replace(text, b"k")
+    assert n == len(kinds) and (new != text) == bool(kinds)
+    again = pii.entities(new)
+    assert [(a, b, k) for a, b, k, _ in again if k not in ("ipv6", "name")] == [(a, b, k) for a, b, k, _ in found if k not in ("ipv6", "name")]
+    assert len(again) == len(found) and all(x not in new for *_, x in found)
+    for (_, _, k, old), (_, _, _, s) in zip(found, again, strict=True):
+        assert k not in ("iban", "ipv6") or old[:2] == s[:2]
+        assert k != "phone" or old.split()[0] == s.split()[0]
+
+
+def test_other_keys_give_other_surrogates():
+    text = "of.34@mail9.example.com, 97.51.17.173, Emma Watson, +44 20 7946 0958, DE89 3704 0044 0532 0130 00"
+    assert len({pii.replace(text, k)[0] for k in (b"a", b"b", b"c")}) == 3 and pii.replace(text, b"a") == pii.replace(text, b"a")
+
+
+def brute_surrogates(texts, key):
+    """The attempt of every entity, entity by entity, as the rounds of joins must find them."""
+    every = sorted({(k, pii.canonical(k, x)) for t in texts for _, _, k, x in pii.entities(t)})
+    taken, attempts, left = set(every), {}, every
+    for attempt in range(pii.MAX_ATTEMPTS + 1):
+        tried = {e: (e[0], pii.surrogate(*e, key, attempt)) for e in left}
+        free = {e for e in left if tried[e] not in taken and e == min(x for x in left if tried[x] == tried[e])}
+        taken |= {tried[e] for e in free}
+        attempts |= {e: attempt for e in free}
+        left = [e for e in left if e not in free]
+    return attempts, left
+
+
+def test_pseudonymise_equals_brute_force(spark):
+    r = random.Random(3)
+    pool = [f"{a}{d}@{q}.io" for a in "aei" for d in range(8) for q in range(10)] + [f"10.0.0.{i}" for i in range(40)] + ["Emma Watson", "Anna Lee", "+1 (017) 555-7713", "(017) 555-7713", "DE89 3704 0044 0532 0130 00"]
+    rows = [(i, " and ".join(r.sample(pool, r.randint(0, 5)))) for i in range(120)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    attempts, left = brute_surrogates([t for _, t in rows], b"k")
+    assert not left and any(attempts.values())
+    want = sorted((str(i), t if t is None else pii.replace(t, b"k", attempts)[0]) for i, t in rows if t is not None)
+    got = sorted((str(x.doc_id), x.text) for x in pii.pseudonymise(docs, b"k").collect() if x.text is not None)
+    assert got == want
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no tables")
+def test_the_query_replaces_every_address_and_number(spark):
+    import re
+
+    from docbraid.llm import queries
+
+    spark.conf.set("spark.docbraid.surrogate.secret", "k")
+    out = {r.doc_id: r for r in queries.op5_pii_surrogates(spark, "/root/testdata/sf0.01").collect()}
+    spark.conf.unset("spark.docbraid.surrogate.secret")
+    old = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    attempts, left = brute_surrogates(old.values(), b"k")
+    assert not left and {i: r.text for i, r in out.items()} == {i: pii.replace(t, b"k", attempts)[0] for i, t in old.items()}
+    private = re.compile(r"[\w.]+@[\w.]+\.com|\d+\.\d+\.\d+\.\d+|\(\d{3}\) \d{3}-\d{4}")
+    real = {x for t in old.values() for x in private.findall(t)}
+    assert len(real) > 20 and not any(x in real for r in out.values() for x in private.findall(r.text))
+
+
 def test_pseudonymise_awkward_rows(spark):
     docs = awkward(spark, [(50, "of.34@mail9.example.com and 97.51.17.173", "en", "s"), (51, PROSE * 2000 + "x 123-45-6789", "en", "s"), (None, "of.34@mail9.example.com", "en", "s")])
-    out = pii.pseudonymise(docs).collect()
+    out = pii.pseudonymise(docs, b"k").collect()
     assert len(out) == docs.count()
     by = {r.doc_id: r for r in out}
     assert by[5].text is None and by[5].n_entities == 0 and by[3].text == "" and by[50].n_entities == 2 and by[51].n_entities == 1
     assert "mail9" not in by[50].text and any(r.doc_id is None and r.text and r.text in by[50].text for r in out)
-    assert pii.pseudonymise(empty(spark)).count() == 0
+    assert pii.pseudonymise(empty(spark), b"k").count() == 0
 
 
 def check_plan(counts, capacity):
