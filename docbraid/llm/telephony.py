@@ -137,8 +137,8 @@ def decode_audio(calls: DataFrame, call_id: str, payload: str, codec: str) -> Da
 
     A null payload or an unknown or null codec gives a null pcm and no samples;
     an empty payload gives an empty one. A truncated ADPCM block is decoded as
-    far as it goes. Repeated rows and null ids are kept, other columns play no
-    part, long payloads are decoded whole. An empty table gives an empty result.
+    far as it goes. Repeated rows and null ids are kept, ids of any type keep it,
+    other columns play no part, long payloads are decoded whole. An empty table gives an empty result.
     There is no shuffle.
     """
 
@@ -157,5 +157,6 @@ def decode_audio(calls: DataFrame, call_id: str, payload: str, codec: str) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("call_id"), part.column("codec"), rate, pa.array(counts), pcm], ["call_id", "codec", "sample_rate", "n_samples", "pcm"])
             release()
 
-    rows = calls.select(F.col(call_id).cast("long").alias("call_id"), F.col(payload).cast("binary").alias("payload"), F.col(codec).alias("codec"))
-    return rows.mapInArrow(run, "call_id long, codec string, sample_rate int, n_samples long, pcm binary")
+    rows = calls.select(F.col(call_id).alias("call_id"), F.col(payload).cast("binary").alias("payload"), F.col(codec).alias("codec"))
+    kind = rows.schema["call_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"call_id {kind}, codec string, sample_rate int, n_samples long, pcm binary")

@@ -144,6 +144,21 @@ def test_viterbi_is_the_best_of_all_paths():
         assert tuple(both[0]) == best and len(both[1]) == 0 and len(both[2]) == 1
 
 
+def test_names_are_told_apart_by_their_order():
+    lines = "Ana: hi\nSeñor Ruiz: yes\nana: so\nKim: x\nLi: y\nUser: z\nplain".split("\n")
+    assert transcripts.features(lines)[:, 0].tolist() == [4, 5, 4, 6, 6, 2, 0]
+
+
+def test_slices_parse_as_whole_batches(spark, monkeypatch):
+    rows = [(i, f"User: a{i}?\n\nBot: b.\nmore" * (i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, transcript string").coalesce(1)
+    want = transcripts.parse_transcripts(df, small_model()).collect()
+    for i, t in rows:
+        lines = transcripts.split_lines(t)
+        (found,) = transcripts.viterbi(small_model(), [transcripts.features(lines)])
+        assert want[i].rendered == transcripts.canonical(transcripts.turns(lines, found))
+
+
 def test_rendering():
     lines = "User: hi\nmore\n\nbot: yes".split("\n")
     assert transcripts.canonical(transcripts.turns(lines, np.array([2, 3, 3, 4]))) == "<|user|>\nhi\nmore\n<|end|>\n<|assistant|>\nyes\n<|end|>\n"
@@ -163,11 +178,13 @@ def test_awkward_conversations(spark):
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no tables")
 def test_held_out_roles(spark):
-    written = transcripts.write_transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).cache()
-    model = transcripts.train(written.filter("conv_id % 2 = 0"))
-    rest = written.filter("conv_id % 2 = 1")
-    gold = {r.conv_id: [transcripts.ROLES[s // 2] for s in r.states if s % 2 == 0] for r in rest.collect()}
-    got = {r.conv_id: r.roles for r in transcripts.parse_transcripts(rest, model).collect()}
+    """The query parses every conversation with a model of others; a third of the styles has no word of a role."""
+    from docbraid.llm import queries
+
+    written = transcripts.write_transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).collect()
+    gold = {r.conv_id: [transcripts.ROLES[s // 2] for s in r.states if s % 2 == 0] for r in written}
+    got = {r.conv_id: r.roles for r in queries.op4_transcript_roles(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == gold.keys()
     assert np.mean([got[k] == v for k, v in gold.items()]) > 0.85
 
 
@@ -221,4 +238,6 @@ def test_audio(spark):
     by = {r.call_id: r for r in out}
     assert by[1].n_samples == 12 and len(by[1].pcm) == 24 and by[2].pcm is None and bytes(by[3].pcm) == b"" and by[4].pcm is None and by[6].pcm is None
     assert by[None].n_samples == 2 * 7 and by[5].n_samples == 600000
+    named = telephony.decode_audio(df.withColumn("id", F.concat(F.lit("c"), "id")), "id", "payload", "codec").collect()
+    assert sorted(str(r.call_id) for r in named) == sorted("None" if r.call_id is None else f"c{r.call_id}" for r in out)
     assert telephony.decode_audio(df.filter(F.lit(False)), "id", "payload", "codec").count() == 0
