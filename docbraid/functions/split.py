@@ -76,6 +76,12 @@ def limited(text: Column, limit: int = 900) -> Column:
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.aggregate(_parts(text), _start(), step, _last))
 
 
+def wrapped(text: Column, width: int = 80) -> Column:
+    """Lines of whole words, as many as fit into the width; a longer word is a line of its own."""
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.aggregate(words, _start(), lambda a, w: _joined(a, w, width), _last)
+
+
 def budget_batches(texts: Column, max_chars: int = 700, max_lines: int = 15) -> Column:
     """For each text the index of the first text of its batch; null for blank ones.
 

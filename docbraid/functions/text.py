@@ -25,6 +25,8 @@ LANGUAGES: dict[str, tuple[str, str, tuple[tuple[int, int], ...], bool]] = {
     "as": ("Assamese", "Bengali-Assamese", ((0x980, 0x9FF),), False),
     "ml": ("Malayalam", "Malayalam", ((0xD00, 0xD7F),), False),
 }
+#: Codes of the translation models.
+FLORES = {"en": "eng_Latn", "hi": "hin_Deva", "mr": "mar_Deva", "pa": "pan_Guru", "bn": "ben_Beng", "gu": "guj_Gujr", "ta": "tam_Taml", "te": "tel_Telu", "kn": "kan_Knda", "or": "ory_Orya", "ur": "urd_Arab", "as": "asm_Beng", "ml": "mal_Mlym"}
 TARGETS = tuple(x for x in LANGUAGES if x != "en")
 #: First match wins; the label is what the leak check compares with a target.
 SCRIPT_LABELS = (("hi/mr", 0x900), ("bn/as", 0x980), ("pa", 0xA00), ("gu", 0xA80), ("or", 0xB00), ("ta", 0xB80), ("te", 0xC00), ("kn", 0xC80), ("ml", 0xD00))
@@ -153,6 +155,11 @@ def regional_code(lang: Column) -> Column:
     return F.when(lang == "or", "od-IN").otherwise(F.concat(lang, F.lit("-IN")))
 
 
+def model_code(lang: Column) -> Column:
+    """The model's code of a language, or null."""
+    return F.element_at(F.create_map(*[F.lit(x) for p in FLORES.items() for x in p]), lang)
+
+
 def try_int(c: Column, default: int = -1) -> Column:
     return F.coalesce(c.try_cast("int"), F.lit(default))
 

@@ -35,3 +35,14 @@ def page_failures(rows: DataFrame, per_page: int = 10) -> DataFrame:
     """(doc_id, page, blocks, failed_blocks, failed): a page fails if any of its blocks did."""
     page = F.floor(F.col("idx") / per_page)
     return rows.groupBy("doc_id", page.alias("page")).agg(F.count("*").alias("blocks"), F.count_if(~F.col("ok")).alias("failed_blocks"), F.bool_or(~F.col("ok")).alias("failed"))
+
+
+def page_report(rows: DataFrame, overflow: Column, per_page: int = 10) -> DataFrame:
+    """(doc_id, translated, overflowed, failed, failed_pages): counters of a document's blocks, and the pages with a failed one."""
+    page = F.when(~F.col("ok"), F.floor(F.col("idx") / per_page))
+    return rows.groupBy("doc_id").agg(
+        F.count_if("ok").alias("translated"),
+        F.count_if(F.col("ok") & overflow).alias("overflowed"),
+        F.count_if(~F.col("ok")).alias("failed"),
+        F.array_sort(F.collect_set(page)).alias("failed_pages"),
+    )

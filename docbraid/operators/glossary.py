@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows a glossary may have to be broadcast; a larger one is joined by its words.
-SMALL = 50_000
+SMALL = 500
 
 
 def _windows(text: Column, n: int) -> Column:

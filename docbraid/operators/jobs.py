@@ -37,8 +37,9 @@ def running_counts(rows: DataFrame) -> DataFrame:
 
 
 def usage(runs: DataFrame) -> DataFrame:
-    """(engine, attempts, successes, cost_micro_usd): bigint sums, never floats."""
-    return runs.groupBy("engine").agg(F.count("*").alias("attempts"), F.count_if("success").alias("successes"), F.sum("cost_micro_usd").alias("cost_micro_usd"))
+    """(engine, attempts, successes, cost_micro_usd, mean_latency_ms): money in bigint sums, never floats; the mean is of the calls that were timed."""
+    mean = F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms")
+    return runs.groupBy("engine").agg(F.count("*").alias("attempts"), F.count_if("success").alias("successes"), F.sum("cost_micro_usd").alias("cost_micro_usd"), mean)
 
 
 def with_runs(chunks: DataFrame, runs: DataFrame) -> DataFrame:

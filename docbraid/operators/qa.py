@@ -44,8 +44,8 @@ def without_terms(text: Column, terms: tuple[str, ...]) -> Column:
     return text
 
 
-def flags(rows: DataFrame, target: str, verbatim: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, idx, type, severity, detail): one row for every finding on (source, translated)."""
+def with_flags(rows: DataFrame, target: str, verbatim: tuple[str, ...] = ()) -> DataFrame:
+    """Adds found, the array of (type, severity, detail) of every finding on (source, translated)."""
     s, t = F.col("source"), F.col("translated")
     clean = without_terms(t, verbatim)
     ratio = F.length(t) / F.greatest(F.length(s), F.lit(1))
@@ -59,7 +59,33 @@ def flags(rows: DataFrame, target: str, verbatim: tuple[str, ...] = ()) -> DataF
         flag(F.size(lost) > 0, "number_mismatch", "ERROR", F.array_join(lost, ", ")),
         flag(F.size(marks) > 0, "citation_mismatch", "WARNING", F.array_join(marks, ", ")),
     )
-    return rows.select("doc_id", "idx", F.inline_outer(F.filter(found, lambda x: x.isNotNull()))).filter("type IS NOT NULL")
+    return rows.withColumn("found", F.filter(found, lambda x: x.isNotNull()))
+
+
+def flags(rows: DataFrame, target: str, verbatim: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, idx, type, severity, detail): one row for every finding."""
+    return with_flags(rows, target, verbatim).select("doc_id", "idx", F.inline_outer("found")).filter("type IS NOT NULL")
+
+
+def by_type(found: DataFrame) -> DataFrame:
+    """(type, severity, flags, documents): the findings of a run."""
+    return found.groupBy("type", "severity").agg(F.count("*").alias("flags"), F.count_distinct("doc_id").alias("documents"))
+
+
+def row_scores(flagged: DataFrame) -> DataFrame:
+    """Adds score, errors, flags to rows with found: 100 less the weights, 0 at least; no join, no shuffle."""
+    weight = F.create_map(*[F.lit(x) for p in WEIGHTS.items() for x in p])
+    lost = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + F.element_at(weight, x["severity"]))
+    errors = F.size(F.filter("found", lambda x: x["severity"] == "ERROR")).cast("long")
+    return flagged.withColumns({"score": F.greatest(F.lit(0).cast("long"), 100 - lost), "errors": errors, "flags": F.size("found").cast("long")}).drop("found")
+
+
+def row_report(scored: DataFrame, least: int = 70) -> DataFrame:
+    """(doc_id, overall_score, chunks, flagged, errors, failed, pass) of rows with ok and their scores: one aggregation."""
+    s = scored.groupBy("doc_id").agg(
+        F.round(F.avg("score"), 6).alias("overall_score"), F.count("*").alias("chunks"), F.count_if(F.col("score") < least).alias("flagged"), F.sum("errors").alias("errors"), F.count_if(~F.col("ok")).alias("failed")
+    )
+    return s.withColumn("pass", (F.col("errors") == 0) & (F.col("flagged") == 0) & (F.col("failed") == 0))
 
 
 def glossary_violations(relevant: DataFrame, rows: DataFrame) -> DataFrame:

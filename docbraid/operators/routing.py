@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,16 +25,30 @@ SUPPORT = {
 
 @dataclass(frozen=True)
 class Engine:
-    """A named engine: its output column, the cost column in micro-dollars, and whether it is on.
+    """A named engine: its output, the cost column in micro-dollars, and whether it is on.
 
-    translate may return null (the call failed) or blank (counts as failure).
+    translate is a column, or a function of the source column, which is null
+    for rows that need no call; with reports it gives the struct of
+    engines.client, whose error, latency and cost are those of the attempt. The
+    output may be null (the call failed) or blank (counts as failure).
     """
 
     kind: str
-    translate: Column
+    translate: Column | Callable[[Column], Column]
     cost: Column
     prompt_version: str | None = None
     enabled: bool = True
+    latency: Column | None = None
+    reports: bool = False
+
+    def said(self, todo: Column) -> Column:
+        """text, error, latency_ms, cost of the rows to do; a row that is not to be done reaches no engine."""
+        source = F.when(todo, F.col("source"))
+        out = self.translate(source) if callable(self.translate) else F.when(todo, self.translate)
+        if self.reports:
+            return out
+        latency = F.lit(None) if self.latency is None else self.latency
+        return F.struct(out.alias("text"), F.lit(None).cast("string").alias("error"), latency.cast("bigint").alias("latency_ms"), self.cost.cast("bigint").alias("cost"))
 
 
 def registry(conf: dict[str, str]) -> list[tuple[str, bool]]:
@@ -56,36 +71,40 @@ def chains(spark: SparkSession, engines: list[tuple[str, bool]], forced: str | N
 def run_chain(rows: DataFrame, engines: list[Engine]) -> DataFrame:
     """Adds translated, engine, ok, attempts: the first non-blank output wins, every attempt is recorded.
 
-    When all fail the source stays in place. Engines are columns, so Catalyst
-    evaluates a later one only where the earlier ones failed.
+    When all fail the source stays in place. An engine that is a function gets
+    the source only of the rows that all engines before it failed on, so no
+    call is made, or paid, for a row that has its translation.
     """
     live = [e for e in engines if e.enabled]
-    out = rows.withColumns({"translated": F.lit(None).cast("string"), "engine": F.lit(None).cast("string"), "attempts": F.expr("CAST(array() AS array<struct<engine:string,success:boolean,cost:bigint,error:string>>)")})
+    none = "CAST(array() AS array<struct<engine:string,success:boolean,cost:bigint,error:string,latency_ms:bigint>>)"
+    out = rows.withColumns({"translated": F.lit(None).cast("string"), "engine": F.lit(None).cast("string"), "attempts": F.expr(none)})
     for e in live:
         todo = F.col("engine").isNull()
-        out = out.withColumn("raw_output", F.when(todo, e.translate))
-        good = F.col("raw_output").isNotNull() & (trimmed(F.coalesce("raw_output", F.lit(""))) != "")
-        error = F.when(good, None).when(F.col("raw_output").isNull(), "call failed").otherwise("empty output")
-        attempt = F.struct(F.lit(e.kind).alias("engine"), good.alias("success"), F.when(good, e.cost.cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("cost"), error.alias("error"))
+        out = out.withColumn("reply", e.said(todo))
+        said = F.col("reply.text")
+        good = said.isNotNull() & (trimmed(F.coalesce(said, F.lit(""))) != "")
+        error = F.when(good, None).otherwise(F.coalesce("reply.error", F.when(said.isNull(), "call failed").otherwise("empty output")))
+        cost = F.when(good, F.coalesce("reply.cost", F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+        attempt = F.struct(F.lit(e.kind).alias("engine"), good.alias("success"), cost.alias("cost"), error.alias("error"), F.col("reply.latency_ms").alias("latency_ms"))
         out = out.withColumns(
             {
                 "attempts": F.when(todo, F.concat("attempts", F.array(attempt))).otherwise(F.col("attempts")),
-                "translated": F.when(todo & good, F.col("raw_output")).otherwise(F.col("translated")),
+                "translated": F.when(todo & good, said).otherwise(F.col("translated")),
                 "engine": F.when(todo & good, F.lit(e.kind)).otherwise(F.col("engine")),
             }
-        ).drop("raw_output")
+        ).drop("reply")
     return out.withColumn("ok", F.col("engine").isNotNull()).withColumn("translated", F.coalesce("translated", "source"))
 
 
 def engine_runs(routed: DataFrame) -> DataFrame:
     """One row for each attempt."""
     rows = routed.select("doc_id", "idx", F.posexplode_outer("attempts").alias("attempt", "a")).filter("attempt IS NOT NULL")
-    return rows.select("doc_id", "idx", "attempt", "a.engine", "a.success", F.col("a.cost").alias("cost_micro_usd"), F.col("a.error").alias("error"))
+    return rows.select("doc_id", "idx", "attempt", "a.engine", "a.success", F.col("a.cost").alias("cost_micro_usd"), F.col("a.error").alias("error"), "a.latency_ms")
 
 
 def compared(rows: DataFrame, engines: list[Engine]) -> DataFrame:
     """Every enabled engine's output for every row; failures are left out."""
-    items = [F.struct(F.lit(e.kind).alias("engine"), e.translate.alias("output")) for e in engines if e.enabled]
+    items = [F.struct(F.lit(e.kind).alias("engine"), e.said(F.lit(True))["text"].alias("output")) for e in engines if e.enabled]
     return rows.select("doc_id", "idx", F.inline_outer(F.array(*items))).filter("output IS NOT NULL AND trim(output) <> ''")
 
 

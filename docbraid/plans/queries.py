@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docbraid.functions import split, text
-from docbraid.operators import batches, blocks, evaluate, glossary, jobs, memory, pages, qa, routing
+from docbraid.operators import batches, blocks, engines, evaluate, glossary, jobs, memory, pages, qa, routing
 from docbraid.plans import sql, translate
 from docbraid.sources import files
 
@@ -258,7 +259,7 @@ def route_chain(spark, d):
     return routing.chains(spark, _ENGINES)
 
 
-@query("fallback_attempts", f"SELECT doc_id, idx, (unnest(range(len(attempts))))::INTEGER AS attempt, unnest(attempts).engine AS engine, unnest(attempts).success AS success, unnest(attempts).cost AS cost_micro_usd, unnest(attempts).error AS error FROM ({ROUTED})")
+@query("fallback_attempts", f"SELECT doc_id, idx, (unnest(range(len(attempts))))::INTEGER AS attempt, unnest(attempts).engine AS engine, unnest(attempts).success AS success, unnest(attempts).cost AS cost_micro_usd, unnest(attempts).error AS error, {sql.latency('unnest(attempts).engine', 'source')} AS latency_ms FROM ({ROUTED})")
 def fallback_attempts(spark, d):
     return routing.engine_runs(translate.translate(docs(spark, d), LANG))
 
@@ -268,7 +269,7 @@ def routed_text(spark, d):
     return translate.translate(docs(spark, d), LANG).select("doc_id", "idx", "translated", "engine", "ok")
 
 
-@query("engine_usage", f"SELECT a.engine AS engine, count(*) AS attempts, count(*) FILTER (WHERE a.success) AS successes, sum(a.cost)::BIGINT AS cost_micro_usd FROM (SELECT unnest(attempts) AS a FROM ({ROUTED})) GROUP BY 1")
+@query("engine_usage", f"SELECT a.engine AS engine, count(*) AS attempts, count(*) FILTER (WHERE a.success) AS successes, sum(a.cost)::BIGINT AS cost_micro_usd, round(avg({sql.latency('a.engine', 'source')}), 6) AS mean_latency_ms FROM (SELECT source, unnest(attempts) AS a FROM ({ROUTED})) GROUP BY 1")
 def engine_usage(spark, d):
     return jobs.usage(routing.engine_runs(translate.translate(docs(spark, d), LANG)))
 
@@ -296,6 +297,67 @@ def prompts(spark, d):
     return rows.select("doc_id", "idx", routing.prompt(F.col("source"), LANG, context=F.col("prev_context"), domain="law", verbatim=("GNU", "MIT")).alias("prompt"))
 
 
+# Services
+
+
+def _stub(service: str, payload: dict) -> dict:
+    """A transport without a network: providers fail by the size of what they are asked."""
+    texts = payload.get("drafts", payload["texts"])
+    n = sum(map(len, texts))
+    if service == "P0" and n % 3 == 0 or service == "EDITOR" and n % 4 == 0:
+        raise engines.Unavailable(400)
+    return {"text": "no array" if service == "P1" and n % 5 == 0 else "Here: " + json.dumps([f"{service}:{x}" for x in texts])}
+
+
+_BATCHES = f"SELECT *, idx // 6 AS batch, length(source) AS own, sum(length(source)) OVER (PARTITION BY doc_id, idx // 6) AS n, count(*) OVER (PARTITION BY doc_id, idx // 6) AS members FROM ({UNITS})"
+_GIVES = lambda p, n: f"(CASE {p} WHEN 0 THEN {n} % 3 <> 0 ELSE {n} % 5 <> 0 END)"
+_PROVIDER = f"CASE WHEN {_GIVES('batch % 2', 'n')} THEN batch % 2 WHEN {_GIVES('1 - batch % 2', 'n')} THEN 1 - batch % 2 WHEN members > 1 AND {_GIVES('batch % 2', 'own')} THEN batch % 2 WHEN members > 1 AND {_GIVES('1 - batch % 2', 'own')} THEN 1 - batch % 2 END"
+
+
+def _batched(spark, d):
+    listed = docs(spark, d).select("doc_id", split.units(F.col("text")).alias("sources"))
+    return listed.select("doc_id", engines.batch_translate(F.col("sources"), ("P0", "P1"), _stub, size=6).alias("said"))
+
+
+@query("provider_rotation", f"SELECT doc_id, idx, CASE WHEN p IS NULL THEN source ELSE 'P' || p || ':' || source END AS translated, 'P' || p AS provider, p IS NOT NULL AS ok FROM (SELECT *, {_PROVIDER} AS p FROM ({_BATCHES}))")
+def provider_rotation(spark, d):
+    rows = _batched(spark, d).select("doc_id", F.posexplode_outer("said").alias("idx", "s")).filter("idx IS NOT NULL")
+    return rows.select("doc_id", "idx", F.col("s.text").alias("translated"), "s.provider", "s.ok")
+
+
+@query("post_edited", f"SELECT doc_id, idx, CASE WHEN sum(length(draft)) OVER (PARTITION BY doc_id, idx // 9) % 4 <> 0 OR count(*) OVER (PARTITION BY doc_id, idx // 9) > 1 AND length(draft) % 4 <> 0 THEN 'EDITOR:' || draft ELSE draft END AS translated FROM (SELECT doc_id, idx, '…' || source AS draft FROM ({UNITS}))")
+def post_edited(spark, d):
+    listed = docs(spark, d).select("doc_id", split.units(F.col("text")).alias("sources"))
+    drafts = F.transform("sources", lambda s: F.concat(F.lit("…"), s))
+    edited = listed.select("doc_id", engines.post_edit(F.col("sources"), drafts, ("EDITOR",), _stub, size=9).alias("e"))
+    return edited.select("doc_id", F.posexplode_outer("e").alias("idx", "e")).filter("idx IS NOT NULL").select("doc_id", "idx", F.col("e.text").alias("translated"))
+
+
+_FIXED = [("GNU General Public License", "जीएनयू लाइसेंस"), ("license", "लाइसेंस")]
+_MARKED = f"SELECT doc_id, idx, replace(replace(source, 'GNU General Public License', ' ⟦0⟧ '), 'license', ' ⟦1⟧ ') AS source FROM ({UNITS})"
+
+
+@query("glossary_rule", f"SELECT doc_id, idx, replace(replace(said, ' ⟦0⟧ ', '{_FIXED[0][1]}'), ' ⟦1⟧ ', '{_FIXED[1][1]}') AS translated FROM ({sql.mock(_MARKED, LANG)})")
+def glossary_rule(spark, d):
+    engine = engines.with_fixed_terms(_FIXED, lambda s: text.mock_translate(s, LANG))
+    return seg(spark, d).select("doc_id", "idx", engine(F.col("source")).alias("translated"))
+
+
+@query("page_report", f"SELECT doc_id, count(*) FILTER (WHERE ok) AS translated, count(*) FILTER (WHERE ok AND length(translated) > length(source)) AS overflowed, count(*) FILTER (WHERE NOT ok) AS failed, coalesce(array_to_string(list_sort(list_distinct(list(idx // 10) FILTER (WHERE NOT ok))), ','), '') AS failed_pages FROM ({PAIRS}) GROUP BY doc_id")
+def page_report(spark, d):
+    return batches.page_report(pairs(spark, d), F.length("translated") > F.length("source")).withColumn("failed_pages", F.array_join("failed_pages", ","))
+
+
+_WRAP = """list_reduce(list_prepend({'p': []::VARCHAR[], 'c': ''}, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: {'p': []::VARCHAR[], 'c': w})), lambda a, x: CASE
+ WHEN a.c = '' THEN {'p': a.p, 'c': x.c} WHEN length(a.c) + length(x.c) + 1 > 80 THEN {'p': list_append(a.p, a.c), 'c': x.c} ELSE {'p': a.p, 'c': a.c || ' ' || x.c} END)"""
+
+
+@query("word_wrap", f"SELECT doc_id, CASE WHEN w.c = '' THEN 0 ELSE len(w.p) + 1 END::INTEGER AS lines, CASE WHEN w.c = '' THEN array_to_string(w.p, chr(10)) ELSE array_to_string(list_append(w.p, w.c), chr(10)) END AS text FROM (SELECT doc_id, {_WRAP} AS w FROM documents WHERE length(text) < 4000)")
+def word_wrap(spark, d):
+    rows = docs(spark, d).filter(F.length("text") < 4000).select("doc_id", split.wrapped(F.col("text"), 80).alias("w"))
+    return rows.select("doc_id", F.size("w").alias("lines"), F.array_join("w", "\n").alias("text"))
+
+
 # Glossary and memory
 
 
@@ -433,16 +495,21 @@ def qa_flags(spark, d):
     return qa.flags(pairs(spark, d), LANG).drop("detail")
 
 
+@query("qa_by_type", f"SELECT type, severity, count(*) AS flags, count(DISTINCT doc_id) AS documents FROM ({_FLAGS}) GROUP BY ALL")
+def qa_by_type(spark, d):
+    return qa.by_type(qa.flags(pairs(spark, d), LANG))
+
+
 @query("qa_scores", f"SELECT doc_id, idx, score, errors, flags FROM ({_SCORES})")
 def qa_scores(spark, d):
     p = pairs(spark, d)
-    return qa.scores(p, qa.flags(p, LANG))
+    return qa.row_scores(qa.with_flags(p, LANG)).select("doc_id", "idx", "score", "errors", "flags")
 
 
 @query("qa_report", f'SELECT *, errors = 0 AND flagged = 0 AND failed = 0 AS "pass" FROM (SELECT doc_id, round(avg(score), 6) AS overall_score, count(*) AS chunks, count(*) FILTER (WHERE score < 70) AS flagged, sum(errors)::BIGINT AS errors, count(*) FILTER (WHERE NOT ok) AS failed FROM ({_SCORES}) GROUP BY doc_id)')
 def qa_report(spark, d):
     p = pairs(spark, d)
-    return qa.report(qa.scores(p, qa.flags(p, LANG)), p)
+    return qa.row_report(qa.row_scores(qa.with_flags(p, LANG)))
 
 
 @query("glossary_violations", f"SELECT doc_id, idx, t.source AS source_term, t.target AS target_term FROM ({PAIRS}) r JOIN {TERMS_SQL} t ON t.source <> '' AND contains(lower(r.source), lower(t.source)) WHERE NOT contains(r.translated, t.target)")

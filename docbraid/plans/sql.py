@@ -110,7 +110,7 @@ GROUP BY r.doc_id, r.idx"""
 
 def routed(lang: str = "hi") -> str:
     """(doc_id, idx, source, translated, engine, ok, attempts list) of the demo engines."""
-    e = "{'engine': '%s', 'success': %s, 'cost': %s, 'error': %s}"
+    e = "{'engine': '%s', 'success': %s, 'cost': %s, 'error': %s}"  # latencies follow from the engine: see latency()
     cost = "(length(source) * 15)::BIGINT"
     return f"""SELECT doc_id, idx, source, CASE WHEN engine IS NULL THEN source ELSE said END AS translated, engine, engine IS NOT NULL AS ok, attempts FROM (SELECT *,
 CASE WHEN spot % 3 = 1 THEN 'INDICTRANS2' WHEN spot % 3 = 2 THEN 'AMAZON_TRANSLATE' WHEN spot % 7 <> 0 THEN 'MOCK' END AS engine,
@@ -121,6 +121,11 @@ CASE WHEN spot % 3 = 1 THEN [{e % ('INDICTRANS2', 'true', '0::BIGINT', 'NULL::VA
 FROM (SELECT *, doc_id + idx AS spot FROM ({mock(exploded(units('text')), lang)})))"""
 
 
+def latency(engine: str, source: str) -> str:
+    """Milliseconds that a demo engine says it took."""
+    return f"CASE {engine} WHEN 'INDICTRANS2' THEN length({source}) WHEN 'AMAZON_TRANSLATE' THEN 2 * length({source}) ELSE 1 END"
+
+
 def heading(line: str) -> str:
     return f"""(CASE WHEN length({line}) > 90 THEN NULL WHEN regexp_matches({line}, '(?i)^(chapter|part)\\b') THEN 1 WHEN regexp_matches({line}, '(?i)^section\\b') THEN 2
  WHEN regexp_matches({line}, '^(\\d+)(\\.\\d+)*\\.?\\s+\\S') THEN least(6, length({line}) - length(replace({line}, '.', '')) + 1)

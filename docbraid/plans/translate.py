@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docbraid.functions.split import units
@@ -11,16 +11,15 @@ from docbraid.operators import batches, blocks, jobs, qa
 from docbraid.operators.routing import Engine, amazon_cost, run_chain
 
 
-def demo_engines(lang: str, source: Column | None = None) -> list[Engine]:
+def demo_engines(lang: str) -> list[Engine]:
     """Three engines that need no network: one fails by rule, one is empty by rule, the last is certain except for every seventh row."""
-    s = F.col("source") if source is None else source
     spot = F.col("doc_id") + F.col("idx")
-    # Python runs whatever a CASE says, so the rows an engine does not serve are null before they reach it.
-    said = lambda served: mock_translate(F.when(served, s), lang)
+    served = lambda source, rule: mock_translate(F.when(rule, source), lang)
+    size = F.length("source")
     return [
-        Engine("INDICTRANS2", said(F.pmod(spot, F.lit(3)) == 1), F.lit(0)),
-        Engine("AMAZON_TRANSLATE", F.coalesce(said(F.pmod(spot, F.lit(3)) == 2), F.when(F.pmod(spot, F.lit(2)) == 0, F.lit(" "))), amazon_cost(s)),
-        Engine("MOCK", said(F.pmod(spot, F.lit(7)) != 0), F.lit(0)),
+        Engine("INDICTRANS2", lambda s: served(s, F.pmod(spot, F.lit(3)) == 1), F.lit(0), latency=size),
+        Engine("AMAZON_TRANSLATE", lambda s: F.coalesce(served(s, F.pmod(spot, F.lit(3)) == 2), F.when(F.pmod(spot, F.lit(2)) == 0, F.lit(" "))), amazon_cost(F.col("source")), latency=2 * size),
+        Engine("MOCK", lambda s: served(s, F.pmod(spot, F.lit(7)) != 0), F.lit(0), latency=F.lit(1)),
     ]
 
 
@@ -45,5 +44,5 @@ def translate(docs: DataFrame, lang: str, engines: list[Engine] | None = None) -
 def checked(docs: DataFrame, lang: str) -> DataFrame:
     """Progress and quality report of each document."""
     rows = translate(docs, lang)
-    report = qa.report(qa.scores(rows, qa.flags(rows, lang)), rows)
+    report = qa.row_report(qa.row_scores(qa.with_flags(rows, lang)))
     return jobs.progress(rows).join(report.select("doc_id", "overall_score", "pass"), "doc_id")

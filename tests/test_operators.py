@@ -1,6 +1,7 @@
 """Cases of the library's own operators, without any table."""
 
 import io
+import json
 import random
 import zipfile
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docbraid.functions import split, text
-from docbraid.operators import batches, blocks, evaluate, glossary, jobs, memory, pages, qa, routing
+from docbraid.operators import batches, blocks, engines, evaluate, glossary, jobs, memory, pages, qa, routing
 from docbraid.plans import translate
 from docbraid.sources import files
 
@@ -359,3 +360,87 @@ def test_whole_flow_keeps_every_segment(spark):
     assert rows.count() == translate.segments(docs).count() and rows.filter("translated IS NULL").count() == 0
     assert translate.checked(docs, "hi").count() == 8 and translate.analyse(docs).count() == 8
     assert batches.reassembled(rows).count() == 8 and evaluate.leak_counts(rows).count() == 8
+
+
+def test_an_engine_sees_only_what_failed_before_it(spark, tmp_path):
+    """The second engine is called for the first one's failures alone; what it throws is an attempt, not the job's end."""
+    rows = spark.createDataFrame([(1, i, f"text {i}") for i in range(100)], "doc_id long, idx int, source string").coalesce(1)
+    log = str(tmp_path / "asked")
+
+    def first(service, payload):
+        n = int(payload["text"].split()[1])
+        if n % 10 == 0:
+            raise engines.Unavailable(400)
+        return {"translation": " " if n % 10 == 1 else f"a{n}"}
+
+    def second(service, payload):
+        with open(log, "a") as f:
+            f.write(payload["Text"] + "\n")
+        if payload["Text"] == "text 20":
+            raise RuntimeError("broken")
+        return {"TranslatedText": f"b {payload['Text']}"}
+
+    a = routing.Engine("A", engines.client(engines.nmt("u"), first, "hi"), F.lit(0), reports=True)
+    b = routing.Engine("B", engines.client(engines.amazon("r"), second, "hi"), F.lit(0), reports=True)
+    out = {r.idx: r for r in routing.run_chain(rows, [a, b]).collect()}
+    failed = {i for i in range(100) if i % 10 < 2}
+    with open(log) as f:
+        assert sorted(f.read().split("\n")[:-1]) == sorted(f"text {i}" for i in failed)
+    assert {i for i, r in out.items() if r.engine == "B"} == failed - {20} and out[20].translated == "text 20" and not out[20].ok
+    assert [x.error for x in out[20].attempts] == ["Unavailable: status 400", "RuntimeError: broken"] and out[1].attempts[0].error == "empty output"
+    assert out[10].attempts[1].cost == 15 * len("text 10") and all(x.latency_ms >= 0 for r in out.values() for x in r.attempts)
+
+
+def test_retries_wait_longer_each_time():
+    waits, asked = [], []
+
+    def send(status):
+        def go(service, payload):
+            asked.append(service)
+            if len(asked) < 4:
+                raise engines.Unavailable(status)
+            return {"text": "ok"}
+
+        return go
+
+    assert engines.Retry(4, 0.5, 1.0).call(send(429), "s", {}, waits.append) == {"text": "ok"} and waits == [0.5, 1.0, 1.0]
+    for status, most in ((503, 2), (400, 4)):
+        asked.clear()
+        with pytest.raises(engines.Unavailable):
+            engines.Retry(most, 0).call(send(status), "s", {}, lambda _: None)
+        assert len(asked) == (2 if status == 503 else 1)
+
+
+def test_rotation_failover_and_singles(spark):
+    def send(service, payload):
+        t = payload["texts"]
+        if service == "A" and "bad" in t or "hopeless" in t:
+            raise engines.Unavailable(400)
+        return {"text": json.dumps([f"{service}{x}" for x in (t[:-1] if "short" in t and len(t) > 1 else t)])}
+
+    rows = spark.createDataFrame([(1, ["x", "y", "z", "w"]), (2, ["bad", "y"]), (3, ["short", "q", "hopeless", "v"]), (4, []), (5, None)], "doc_id long, s array<string>")
+    got = {r.doc_id: r.t and [(x.text, x.provider, x.ok) for x in r.t] for r in rows.select("doc_id", engines.batch_translate(F.col("s"), ("A", "B"), send, 2).alias("t")).collect()}
+    assert got[1] == [("Ax", "A", True), ("Ay", "A", True), ("Bz", "B", True), ("Bw", "B", True)] and got[2][0] == ("Bbad", "B", True)
+    assert got[3] == [("Ashort", "A", True), ("Aq", "A", True), ("hopeless", None, False), ("Bv", "B", True)] and got[4] == [] and got[5] is None
+    edited = rows.select("doc_id", engines.post_edit(F.col("s"), F.transform("s", lambda x: F.concat(x, F.lit("!"))), ("A",), lambda service, p: send(service, {"texts": p["texts"]}), 2).alias("t"))
+    assert [x.text for x in edited.filter("doc_id = 2").first().t] == ["bad!", "Ay"]
+
+
+def test_fixed_terms_and_counters(spark):
+    engine = engines.with_fixed_terms([("cat", "K"), ("cat food", "KF")], F.upper)
+    row = spark.createDataFrame([("one cat food, a cat",)], "source string").select(engine(F.col("source")).alias("t")).first()
+    assert row.t == "ONE KF, A K"
+    rows = spark.createDataFrame([(1, 0, "ab", "abc", True), (1, 1, "ab", "ab", False), (1, 25, "ab", "ab", False), (2, 0, "a", "a", True)], "doc_id long, idx int, source string, translated string, ok boolean")
+    got = {r.doc_id: r for r in batches.page_report(rows, F.length("translated") > F.length("source")).collect()}
+    assert (got[1].translated, got[1].overflowed, got[1].failed, got[1].failed_pages) == (1, 1, 2, [0, 2]) and got[2].failed_pages == []
+
+
+def test_row_scores_equal_joined_scores(spark):
+    rows = spark.createDataFrame([(1, 0, "Figure 1 has 20 things", "x", True), (1, 1, "plain", "सादा", True), (2, 0, "plain", "plain text", False)], "doc_id long, idx int, source string, translated string, ok boolean")
+    found = qa.flags(rows, "hi")
+    joined = qa.scores(rows, found)
+    mine = qa.row_scores(qa.with_flags(rows, "hi"))
+    key = lambda df, c: sorted(map(tuple, df.select(*c).collect()))
+    assert key(mine, joined.columns) == key(joined, joined.columns)
+    whole = qa.report(joined, rows)
+    assert key(qa.row_report(mine), whole.columns) == key(whole, whole.columns)
