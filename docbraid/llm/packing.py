@@ -141,7 +141,12 @@ def _intervals(plan: Plan) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, capacity: int) -> DataFrame:
+def token_type(vocabulary: str) -> str:
+    """The least little-endian unsigned type that holds every id of a vocabulary and the end token's."""
+    return "<u2" if encoder(vocabulary).encoding.max_token_value + 1 < 1 << 16 else "<u4"
+
+
+def _pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, capacity: int, kind_of_id: str) -> DataFrame:
     """(doc_id, k1, k2, start, length, tokens): every document with its end token, cut at the capacity."""
     k1, k2 = row_key(F.col(doc_id), F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
@@ -155,7 +160,7 @@ def _pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, capacity:
                 ids, ends = e.encode(part)
                 n = len(part)
                 sizes = np.diff(ends) + END
-                stream = np.full(int(sizes.sum()), ender, "<u4")
+                stream = np.full(int(sizes.sum()), ender, kind_of_id)
                 low = np.cumsum(sizes) - sizes
                 own = np.ones(len(stream), bool)
                 own[low + sizes - END] = False
@@ -164,7 +169,7 @@ def _pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, capacity:
                 doc = np.repeat(np.arange(n), cuts)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
                 length = np.minimum(capacity, sizes[doc] - start)
-                offsets = pa.py_buffer((4 * np.append(low[doc] + start, len(stream))).astype(np.int32))
+                offsets = pa.py_buffer((stream.itemsize * np.append(low[doc] + start, len(stream))).astype(np.int32))
                 tokens = pa.Array.from_buffers(pa.binary(), len(doc), [None, offsets, pa.py_buffer(stream.tobytes())])
                 held = [batch.column(c).slice(at, n).take(pa.array(doc)) for c in ("doc_id", "k1", "k2")]
                 at += n
@@ -194,10 +199,10 @@ def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """(bin_id, used, doc_ids, starts, lengths, tokens): one row for each sequence of at most capacity tokens.
+    """(bin_id, used, doc_ids, starts, lengths, token_bytes, tokens): one row for each sequence of at most capacity tokens.
 
-    tokens holds the ids of the whole sequence, little-endian, 32 bits each; the
-    piece that begins at token starts[i] of document doc_ids[i] is lengths[i] of
+    tokens holds the ids of the whole sequence, little-endian, token_bytes bytes
+    each: two if the vocabulary allows it, else four. The piece that begins at token starts[i] of document doc_ids[i] is lengths[i] of
     them. A document is its tokens and an end token, whose id is the first after
     the vocabulary's; one longer than the capacity is cut into full windows and a
     rest, never shortened. Null and empty texts are a single end token. Every
@@ -210,12 +215,14 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
     the scan; the tokens of the others are shuffled once to their ranks and once
     to their bins. bin_id is unique, not dense.
     """
-    pieces = materialise(_pieces(docs, doc_id, text, vocabulary, capacity))
+    of_id = token_type(vocabulary)
+    pieces = materialise(_pieces(docs, doc_id, text, vocabulary, capacity, of_id))
+    wide = F.lit(np.dtype(of_id).itemsize).alias("token_bytes")
     full = F.col("length") == capacity
     counts = {r["length"]: r["n"] for r in pieces.filter(~full).groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row a length: under capacity rows
     plan = make_plan(counts, capacity)
     own_bin = (F.monotonically_increasing_id() + sum(times for _, times in plan.kinds)).alias("bin_id")
-    alone = pieces.filter(full).select(own_bin, F.col("length").alias("used"), F.array("doc_id").alias("doc_ids"), F.array("start").alias("starts"), F.array("length").alias("lengths"), "tokens")
+    alone = pieces.filter(full).select(own_bin, F.col("length").alias("used"), F.array("doc_id").alias("doc_ids"), F.array("start").alias("starts"), F.array("length").alias("lengths"), wide, "tokens")
     if not counts:
         return alone
     places = _intervals(plan)
@@ -233,5 +240,5 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
     placed = _ranked(pieces.filter(~full), counts).select("doc_id", "start", "length", "tokens", place("length", "rank").alias("p")).select("*", "p.*")
     members = F.array_sort(F.collect_list(F.struct("slot", "doc_id", "start", "length")))
     shared = placed.groupBy("bin_id").agg(F.sum("length").alias("used"), members.alias("m"), F.expr("listagg(tokens) WITHIN GROUP (ORDER BY slot)").alias("tokens"))
-    mixed = shared.select("bin_id", "used", F.col("m.doc_id").alias("doc_ids"), F.col("m.start").alias("starts"), F.col("m.length").alias("lengths"), "tokens")
+    mixed = shared.select("bin_id", "used", F.col("m.doc_id").alias("doc_ids"), F.col("m.start").alias("starts"), F.col("m.length").alias("lengths"), wide, "tokens")
     return alone.unionByName(mixed)

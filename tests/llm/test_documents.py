@@ -541,11 +541,14 @@ def test_bins_hold_every_token_once(spark, monkeypatch):
     for rows_per_salt in (packing.ROWS_PER_SALT, 10, 1):
         monkeypatch.setattr(packing, "ROWS_PER_SALT", rows_per_salt)
         bins[rows_per_salt] = packing.pack(docs, capacity=256).collect()
+    monkeypatch.setattr(packing, "token_type", lambda _: "<u4")
+    bins[4] = packing.pack(docs, capacity=256).collect()
+    assert {b.token_bytes for b in bins[4]} == {4} and {b.token_bytes for b in bins[1]} == {2}
     for rows in bins.values():
         assert len({b.bin_id for b in rows}) == len(rows) and all(b.used == sum(b.lengths) <= 256 for b in rows)
         got = Counter()
         for b in rows:
-            ids, at = np.frombuffer(bytes(b.tokens), "<u4").tolist(), 0
+            ids, at = np.frombuffer(bytes(b.tokens), f"<u{b.token_bytes}").tolist(), 0
             assert len(ids) == b.used
             for d, start, n in zip(b.doc_ids, b.starts, b.lengths, strict=True):
                 got[(d, start, tuple(ids[at : at + n]))] += 1
@@ -577,7 +580,7 @@ def test_pipeline_equals_its_brute_force(spark, tmp_path):
         assert docs.columns == df.columns
     assert "[SECRET]" in docs.filter("doc_id = 901").first().text
     e = tokens.Encoder(tokens.VOCABULARY).encoding
-    said = {d: e.decode(np.frombuffer(bytes(b.tokens), "<u4")[sum(b.lengths[:i]) :][: b.lengths[i] - 1].tolist()) for b in bins for i, d in enumerate(b.doc_ids)}
+    said = {d: e.decode(np.frombuffer(bytes(b.tokens), f"<u{b.token_bytes}")[sum(b.lengths[:i]) :][: b.lengths[i] - 1].tolist()) for b in bins for i, d in enumerate(b.doc_ids)}
     assert said == {r.doc_id: r.text for r in docs.collect()} and secret(5) not in "".join(said.values())
 
 
