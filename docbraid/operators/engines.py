@@ -104,7 +104,7 @@ def client(adapter: Adapter, send: Send, target: str, retry: Retry = Retry(), th
             with ThreadPoolExecutor(threads) as pool:
                 return pa.array(list(pool.map(one, sources.to_pylist())), kind)
 
-        return said(source)
+        return said.asNondeterministic()(source)  # a call is made once, wherever the plan needs its reply
 
     return translate
 
@@ -166,7 +166,7 @@ def batch_translate(sources: Column, providers: Sequence[str], send: Send, size:
     def said(column: pa.Array) -> pa.Array:
         return pa.array([None if x is None else _worked([x], size, send, providers, ("texts",), 0, retry) for x in column.to_pylist()], _BATCHED)
 
-    return said(sources)
+    return said.asNondeterministic()(sources)
 
 
 def post_edit(sources: Column, drafts: Column, providers: Sequence[str], send: Send, size: int = 64, retry: Retry = Retry()) -> Column:
@@ -177,7 +177,7 @@ def post_edit(sources: Column, drafts: Column, providers: Sequence[str], send: S
         rows = zip(column.to_pylist(), made.to_pylist(), strict=True)
         return pa.array([None if s is None or t is None else _worked([s, t], size, send, providers, ("texts", "drafts"), 1, retry) for s, t in rows], _BATCHED)
 
-    return refined(sources, drafts)
+    return refined.asNondeterministic()(sources, drafts)
 
 
 def with_fixed_terms(terms: Sequence[tuple[str, str]], translate: Callable[[Column], Column]) -> Callable[[Column], Column]:
