@@ -159,7 +159,9 @@ def batch_translate(sources: Column, providers: Sequence[str], send: Send, size:
 
     Batches go to the providers in turn; one that fails or answers with another
     number of texts is followed by the next; then every text is tried alone, and
-    what still fails keeps its source. The array stays in its row: no shuffle.
+    what still fails keeps its source. The array stays in its row: no shuffle. As
+    for any Python function, Spark can't plan sources in which a lambda captures
+    the variable of one around it; split has no such.
     """
 
     @F.arrow_udf(BATCHED)

@@ -426,6 +426,18 @@ def test_rotation_failover_and_singles(spark):
     assert [x.text for x in edited.filter("doc_id = 2").first().t] == ["bad!", "Ay"]
 
 
+def test_services_take_cut_texts(spark):
+    """Sources that cut long texts are planned together with the call, whatever numbers the columns have."""
+    spark.range(1).collect()
+    long = "é\n😀" * 300 + "."
+    rows = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
+    send = lambda service, payload: {"text": json.dumps([f"{service}{x}" for x in payload["texts"]])}
+    for cut in (split.units(F.col("text"), 100), split.limited(F.col("text"), 100)):
+        said = rows.select("doc_id", engines.batch_translate(cut, ("A",), send, 100).alias("t"))
+        got = {r.doc_id: [x.text for x in r.t] for r in said.collect()}
+        assert got == {1: ["A" + long[i : i + 100] for i in range(0, 901, 100)], 2: ["Ashort"]}
+
+
 def test_fixed_terms_and_counters(spark):
     engine = engines.with_fixed_terms([("cat", "K"), ("cat food", "KF")], F.upper)
     row = spark.createDataFrame([("one cat food, a cat",)], "source string").select(engine(F.col("source")).alias("t")).first()
