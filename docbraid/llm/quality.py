@@ -40,6 +40,8 @@ MIN_WORDS = 40
 #: The square of a distance may be base + noise / n_words: the chance divergence of n draws falls as 1 / n.
 CLASS_BASE, CLASS_NOISE = 0.03, 2.0
 WORD_BASE, WORD_NOISE = 0.06, 5.0
+#: Texts of so many bytes, and rows of so many histograms, are worked on at once: a worker's arrays take up to 60 times the former.
+PART_BYTES, PART_ROWS = 1 << 18, 1024
 
 
 def _lists() -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -54,7 +56,7 @@ def _histograms(texts: pa.Array, langs: pa.Array) -> pa.Array:
     known, hashes, order = _lists()
     width, parts, at = tk.N_CLASSES + N_WORDS + 1, [], 0
     codes = np.array([known.index(x) if x in known else -1 for x in langs.to_pylist()], np.int64)
-    for part in slices(texts):
+    for part in slices(texts, PART_BYTES):
         n = len(part)
         points, offsets = tk.code_points(part)
         words = tk.words(points, offsets)
@@ -92,11 +94,15 @@ def _jsd(mine: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 def _divergences(mine: pa.Array, references: pa.Array) -> pa.Array:
     k, width = tk.N_CLASSES, tk.N_CLASSES + N_WORDS + 1
-    known = references.is_valid().to_numpy(zero_copy_only=False).astype(bool)
-    a, b = mine.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), np.zeros((len(mine), width), np.int64)
-    b[known] = references.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    columns = [pa.array(_jsd(a[:, :k], b[:, :k])), pa.array(_jsd(a[:, k:], b[:, k:])), pa.array(a[:, k:].sum(axis=1))]
-    return pa.StructArray.from_arrays(columns, ["class", "word", "n_words"])
+    columns = [np.empty(0)], [np.empty(0)], [np.empty(0, np.int64)]
+    for low in range(0, len(mine), PART_ROWS):
+        own, other = mine.slice(low, PART_ROWS), references.slice(low, PART_ROWS)
+        known = other.is_valid().to_numpy(zero_copy_only=False).astype(bool)
+        a, b = own.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), np.zeros((len(own), width), np.int64)
+        b[known] = other.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        for column, values in zip(columns, (_jsd(a[:, :k], b[:, :k]), _jsd(a[:, k:], b[:, k:]), a[:, k:].sum(axis=1)), strict=True):
+            column.append(values)
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["class", "word", "n_words"])
 
 
 _DIVERGENCE = "struct<class:double,word:double,n_words:long>"
@@ -139,10 +145,11 @@ def _scored(docs: DataFrame, text: str, lang: str, trusted: DataFrame | None) ->
     """(row struct, n_words, class_distance, word_distance, rejected) for every row of docs."""
     counted = materialise((docs if trusted is None else trusted).select(F.col(lang).alias("l"), _histogram(F.col(text), F.col(lang)).alias("h")))
     references = _mean(_nearer_half(counted) if trusted is None else counted)
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.struct("*").alias("row"))
-    joined = rows.join(references, F.col("l").eqNullSafe(F.col("rl")), "left")
-    listed = F.col("l").isin(*COMMON_WORDS)
-    compared = joined.select("row", "l", _scores(F.col("t"), F.col("l"), F.col("ref")).alias("d"))
+    rows = docs.select(F.struct("*").alias("row"))  # each text once: all columns of a batch wait in memory for its scores
+    said, spoken = F.col("row")[text], F.col("row")[lang]
+    joined = rows.join(references, spoken.eqNullSafe(F.col("rl")), "left")
+    listed = spoken.isin(*COMMON_WORDS)
+    compared = joined.select("row", _scores(said, spoken, F.col("ref")).alias("d"))
     scored = compared.select(
         "row",
         F.col("d.n_words").alias("n_words"),

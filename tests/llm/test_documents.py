@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -606,3 +607,21 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
     assert packed == one
     empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_quality_batches_take_little_memory():
+    """A worker's arrays follow the parts of a batch, not the batch."""
+    texts, langs = pa.array(["some words, of the common kind. " * 60] * 2000), pa.array(["en"] * 2000)
+    quality._histograms(texts[:1], langs[:1])
+    tracemalloc.start()
+    mine = quality._histograms(texts, langs)
+    first = tracemalloc.get_traced_memory()[1]
+    whole = pa.concat_arrays([mine] * 10)
+    tracemalloc.reset_peak()
+    got = quality._divergences(whole, pa.concat_arrays([mine.slice(0, 1), pa.nulls(1, mine.type)] * 10_000))
+    second = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first < 30 << 20 and second < 20 << 20
+    assert mine.to_pylist()[0] == mine.to_pylist()[-1] and len(got) == 20_000
+    assert set(got.field("class").to_pylist()) == {0.0} and set(got.field("n_words").to_pylist()) == {360}
+    assert len(quality._divergences(mine.slice(0, 0), mine.slice(0, 0))) == 0
