@@ -44,8 +44,8 @@ IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
            "thead": ("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), "tfoot": ("thead", "tbody", "tfoot", "tr", "td", "th", "caption")}
 _BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",)}
 _TABLE = ("table",)
-#: Limits of the layout, not of the text: cells that span into a row, columns of an aligned table, its size against its text.
-SPANNING, COLUMNS, PADDING = 200, 10_000, 64
+#: Limits of the layout, not of the text: cells that span into a row, columns on screen of padding and of a cell that widens its column.
+SPANNING, WIDE = 200, 200
 
 
 @dataclass
@@ -357,53 +357,83 @@ def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int
     return out
 
 
-def _broad(placed: list[list[tuple[int, int, list[str]]]], columns: int) -> int:
-    """No less than the width of the aligned table."""
-    widths = [0] * columns
-    for row in placed:
-        for at, span, lines in row:
-            widths[at + span - 1] = max(widths[at + span - 1], max(map(width, lines), default=0))
-    return sum(widths) + 3 * columns
-
-
-def _unpadded(cells: list[list[str]]) -> list[str]:
-    high = max(map(len, cells), default=0)
-    return [" | ".join(lines[k] if k < len(lines) else "" for lines in cells).rstrip() for k in range(high)]
+class _Widths:
+    """Widths of the columns that have one, with sums over ranges; the others, however many, are of width 0."""
+
+    def __init__(self, columns: set[int]) -> None:
+        self.columns = sorted(columns)
+        self.own = [0] * len(self.columns)
+        self.tree = [0] * (len(self.columns) + 1)
+
+    def at(self, column: int) -> int:
+        i = bisect.bisect_left(self.columns, column)
+        return self.own[i] if i < len(self.columns) and self.columns[i] == column else 0
+
+    def add(self, column: int, more: int) -> None:
+        i = bisect.bisect_left(self.columns, column)
+        self.own[i] += more
+        i += 1
+        while i < len(self.tree):
+            self.tree[i] += more
+            i += i & -i
+
+    def before(self, column: int) -> int:
+        i, total = bisect.bisect_left(self.columns, column), 0
+        while i:
+            total += self.tree[i]
+            i -= i & -i
+        return total
+
+    def place(self, column: int) -> int:
+        """Where a column begins, or ends with the separator after it."""
+        return self.before(column) + 3 * column
+
+
+def _between(row: list[tuple[int, int, list[str]]], widths: _Widths, after: int, until: int, pad: int) -> str:
+    """What stands between the texts of two cells of a row (-1: its start, len(row): its end); over WIDE it is but a separator."""
+    low = row[after][0] + row[after][1] if after >= 0 else 0
+    high = row[until][0] if until < len(row) else row[-1][0] + row[-1][1]
+    if pad + widths.place(high) - widths.place(low) > WIDE:
+        return " | "
+    parts = [" " * pad] if after >= 0 else []
+    for column, span, _ in row[after + 1 : until]:
+        parts += [" " * widths.at(x) for x in range(low, column)]
+        parts.append(" " * (widths.place(column + span) - widths.place(column) - 3))
+        low = column + span
+    parts += [" " * widths.at(x) for x in range(low, high)]
+    return " | ".join(parts + [""] if until < len(row) else parts)
 
 
 def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Lines of a table: columns as wide as their widest cell of span one, cells apart by ' | '.
 
-    Where aligning would take over PADDING times the table's text, or it has more
-    than COLUMNS columns, the cells stand apart by ' | ' without padding.
+    A cell over WIDE widens no column, and cells more than WIDE apart are apart by
+    ' | ' alone: so a table has at most that much padding a cell, and each of its
+    lines depends on the columns' widths only, not on how large the table is.
     """
     placed = _placed(rows)
-    columns = max((at + span for row in placed for at, span, _ in row), default=0)
-    high = sum(max((len(lines) for _, _, lines in row), default=0) for row in placed)
-    said = sum(len(x) for row in placed for *_, lines in row for x in lines)
-    if columns > COLUMNS or _broad(placed, columns) * high > PADDING * said + 100_000:
-        return [x for row in placed for x in _unpadded([lines for *_, lines in row])]
-    widths: list[int] = []
+    widths = _Widths({at + span - 1 for row in placed for at, span, _ in row})
     for spans in (False, True):
         for row in placed:
             for at, span, lines in row:
-                widths += [0] * (at + span - len(widths))
                 need = max(map(width, lines), default=0)
-                if span == 1 and not spans:
-                    widths[at] = max(widths[at], need)
-                elif span > 1 and spans:
-                    have = sum(widths[at : at + span]) + 3 * (span - 1)
-                    widths[at + span - 1] += max(0, need - have)
+                if need <= WIDE and (span > 1) == spans:
+                    have = widths.place(at + span) - widths.place(at) - 3 if spans else widths.at(at)
+                    widths.add(at + span - 1, max(0, need - have))
     out = []
     for row in placed:
-        for k in range(max((len(lines) for _, _, lines in row), default=0)):
-            at, parts = 0, []
-            for column, span, lines in row:
-                parts += [" " * widths[x] for x in range(at, column)]
-                line = lines[k] if k < len(lines) else ""
-                parts.append(line + " " * (sum(widths[column : column + span]) + 3 * (span - 1) - width(line)))
-                at = column + span
-            out.append(" | ".join(parts).rstrip())
+        said: list[list[tuple[int, str]]] = [[] for _ in range(max((len(lines) for _, _, lines in row), default=0))]
+        for i, (_, _, lines) in enumerate(row):
+            for k, line in enumerate(lines):
+                if line:
+                    said[k].append((i, line))
+        for texts in said:
+            parts, last, pad = [], -1, 0
+            for i, line in texts:
+                parts += [_between(row, widths, last, i, pad), line]
+                last, pad = i, max(0, widths.place(row[i][0] + row[i][1]) - widths.place(row[i][0]) - 3 - width(line))
+            parts.append(_between(row, widths, last, len(row), pad))
+            out.append("".join(parts).rstrip())
     return out
 
 

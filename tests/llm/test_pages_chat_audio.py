@@ -104,6 +104,17 @@ def marks_off(words):
     return Counter(w for w in words if not re.fullmatch(r"-|\d+\.|\|", w))
 
 
+def test_table_rows_do_not_depend_on_the_size_of_their_table():
+    head, row = f"<tr><td>{'x' * 190}<td>{'y' * 190}", "<tr><td>a<td>b"
+    for n in (1, 1000):
+        lines = htmltext.page_text("<table>" + head + row * n + "</table>").split("\n")
+        assert len(lines) == n + 1 and set(lines[1:]) == {"a" + " " * 189 + " | b"}
+    wide = htmltext.page_text("<table><tr><td>" + "w" * 201 + "<td>z" + row * 2 + "</table>").split("\n")
+    assert wide == ["w" * 201 + " | z", "a | b", "a | b"]
+    many = htmltext.page_text("<table><tr>" + "<td>ab" * 10_001 + "<tr>" + "<td>a" * 10_001 + "</table>").split("\n")
+    assert many[1] == "a  | " * 10_000 + "a"
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no tables")
 def test_every_page_shows_the_words_of_the_plain_parser():
     import pyarrow.parquet as pq
