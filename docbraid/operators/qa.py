@@ -6,9 +6,14 @@ defaults here are this library's own choice.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docbraid.functions import kernels
 from docbraid.functions.text import latin_ratio, script_ratio, trimmed
 
 LATIN_MAX, SCRIPT_MIN, LENGTH_BAND = 0.3, 0.5, (0.3, 3.0)
@@ -19,6 +24,10 @@ NUMBER = r"[0-9]+(?:[.,][0-9]+)*%?"
 CITATION = r"\[[0-9, ]+\]|(?:Figure|Table) [0-9]+"
 
 
+_ASCII = str.maketrans(NUMERALS, "0123456789" * (len(NUMERALS) // 10))
+_NUMBER, _CITATION, _DIGIT = re.compile(NUMBER), re.compile(CITATION), re.compile(f"[0-9{NUMERALS}]")
+
+
 def numbers(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, NUMERALS, "0123456789" * (len(NUMERALS) // 10)), F.lit(NUMBER), F.lit(0))
 
@@ -29,6 +38,44 @@ def missing_items(source: Column, target: Column) -> Column:
     return F.array_sort(F.filter(F.array_distinct(source), lambda x: many(source, x) > many(target, x)))
 
 
+def _numbers(text: str) -> list[str]:
+    return _NUMBER.findall(text if text.isascii() else text.translate(_ASCII)) if _DIGIT.search(text) else []
+
+
+def _lost(source: str | None, target: str | None) -> list[str] | None:
+    if source is None or target is None:
+        return None
+    have = _numbers(source)
+    return sorted(Counter(have) - Counter(_numbers(target))) if have else []
+
+
+def _unmarked(source: str | None, target: str | None) -> list[str] | None:
+    if source is None or target is None:
+        return None
+    kept = set(_CITATION.findall(target)) if (mine := dict.fromkeys(_CITATION.findall(source))) else ()
+    return [m for m in mine if m not in kept]
+
+
+def lost_numbers(source: Column, target: Column) -> Column:
+    """missing_items of the numbers of two texts, read once."""
+
+    @F.arrow_udf("array<string>")
+    def lost(a: pa.Array, b: pa.Array) -> pa.Array:
+        return kernels.mapped(_lost, pa.list_(pa.string()), a, b)
+
+    return lost.asNondeterministic()(source, target)
+
+
+def lost_markers(source: Column, target: Column) -> Column:
+    """Citation marks of the source, each once and in order, that the target has not."""
+
+    @F.arrow_udf("array<string>")
+    def lost(a: pa.Array, b: pa.Array) -> pa.Array:
+        return kernels.mapped(_unmarked, pa.list_(pa.string()), a, b)
+
+    return lost.asNondeterministic()(source, target)
+
+
 def markers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CITATION), F.lit(0))
 
@@ -49,17 +96,18 @@ def with_flags(rows: DataFrame, target: str, verbatim: tuple[str, ...] = ()) ->
     s, t = F.col("source"), F.col("translated")
     clean = without_terms(t, verbatim)
     ratio = F.length(t) / F.greatest(F.length(s), F.lit(1))
-    lost = missing_items(numbers(s), numbers(t))
-    marks = F.array_except(markers(s), markers(t))
+    read = {"latin": latin_ratio(clean), "script": script_ratio(clean, target), "lost": lost_numbers(s, t), "marks": lost_markers(s, t)}
+    made = rows.withColumn("read", F.struct(*[c.alias(k) for k, c in read.items()]))
+    latin, script, lost, marks = (F.col(f"read.{k}") for k in read)
     flag = lambda test, kind, severity, detail: F.when(test, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), detail.alias("detail")))
     found = F.array(
-        flag(latin_ratio(clean) > LATIN_MAX, "untranslated", "ERROR", F.format_string("%.3f", latin_ratio(clean))),
-        flag(script_ratio(clean, target) < SCRIPT_MIN, "wrong_script", "WARNING", F.format_string("%.3f", script_ratio(clean, target))),
+        flag(latin > LATIN_MAX, "untranslated", "ERROR", F.format_string("%.3f", latin)),
+        flag(script < SCRIPT_MIN, "wrong_script", "WARNING", F.format_string("%.3f", script)),
         flag(~ratio.between(*LENGTH_BAND), "length_anomaly", "WARNING", F.format_string("%.3f", ratio)),
         flag(F.size(lost) > 0, "number_mismatch", "ERROR", F.array_join(lost, ", ")),
         flag(F.size(marks) > 0, "citation_mismatch", "WARNING", F.array_join(marks, ", ")),
     )
-    return rows.withColumn("found", F.filter(found, lambda x: x.isNotNull()))
+    return made.withColumn("found", F.filter(found, lambda x: x.isNotNull())).drop("read")
 
 
 def flags(rows: DataFrame, target: str, verbatim: tuple[str, ...] = ()) -> DataFrame:
@@ -88,9 +136,9 @@ def row_report(scored: DataFrame, least: int = 70) -> DataFrame:
     return s.withColumn("pass", (F.col("errors") == 0) & (F.col("flagged") == 0) & (F.col("failed") == 0))
 
 
-def glossary_violations(relevant: DataFrame, rows: DataFrame) -> DataFrame:
-    """Relevant terms whose rendering is missing from the translation."""
-    joined = relevant.join(rows.select("doc_id", "idx", "translated"), ["doc_id", "idx"])
+def glossary_violations(relevant: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Relevant terms whose rendering is missing from the translation; a relevant that carries translated needs no rows."""
+    joined = relevant if rows is None else relevant.join(rows.select("doc_id", "idx", "translated"), ["doc_id", "idx"])
     return joined.filter(F.instr(F.col("translated"), F.col("target_term")) == 0).select("doc_id", "idx", "source_term", "target_term")
 
 

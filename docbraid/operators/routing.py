@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docbraid.functions.text import LANGUAGES, TARGETS, trimmed
+from docbraid.functions.text import LANGUAGES, TARGETS
 
 #: Specialists first; the last resort needs no network.
 RANKS = ("INDICTRANS2", "LLM", "AMAZON_TRANSLATE", "GOOGLE_ADVANCED", "MOCK")
@@ -82,7 +82,7 @@ def run_chain(rows: DataFrame, engines: list[Engine]) -> DataFrame:
         todo = F.col("engine").isNull()
         out = out.withColumn("reply", e.said(todo))
         said = F.col("reply.text")
-        good = said.isNotNull() & (trimmed(F.coalesce(said, F.lit(""))) != "")
+        good = said.isNotNull() & F.coalesce(said, F.lit("")).rlike(r"(?U)\S")
         error = F.when(good, None).otherwise(F.coalesce("reply.error", F.when(said.isNull(), "call failed").otherwise("empty output")))
         cost = F.when(good, F.coalesce("reply.cost", F.lit(0))).otherwise(F.lit(0)).cast("bigint")
         attempt = F.struct(F.lit(e.kind).alias("engine"), good.alias("success"), cost.alias("cost"), error.alias("error"), F.col("reply.latency_ms").alias("latency_ms"))
