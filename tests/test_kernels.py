@@ -123,6 +123,8 @@ def test_queries_make_each_translation_once(spark, tmp_path):
     once = {
         "bilingual": 0,
         "qa_flags": 0,
+        "ab_diff": 0,
+        "ab_summary": 0,
     }
     for name, joins in once.items():
         df = queries.QUERIES[name](spark, d)
