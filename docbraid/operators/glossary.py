@@ -16,15 +16,15 @@ def _windows(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(runs) if n else F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
 
 
-def relevant_terms(rows: DataFrame, terms: DataFrame, text: str = "source") -> DataFrame:
-    """(doc_id, idx, source_term, target_term) for every term that occurs in a text, letter case aside.
+def relevant_terms(rows: DataFrame, terms: DataFrame, text: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, idx, source_term, target_term) and the columns to keep, for every term that occurs in a text, letter case aside.
 
     Containment is no equality, so the terms, counted first, are broadcast to a
     nested loop; beyond SMALL terms the join runs by grams of a term's first three
     letters, or of the whole term where it is shorter. Both find the same rows.
     """
     t = terms.select(F.col("source").alias("source_term"), F.col("target").alias("target_term"))
-    keyed = rows.select("doc_id", "idx", F.lower(text).alias("low"))
+    keyed = rows.select("doc_id", "idx", F.lower(text).alias("low"), *keep)
     inside = F.instr(F.col("low"), F.lower("source_term")) > 0
     if t.limit(SMALL + 1).count() <= SMALL:
         found = keyed.join(F.broadcast(t), inside)
@@ -33,7 +33,7 @@ def relevant_terms(rows: DataFrame, terms: DataFrame, text: str = "source") -> D
         sizes = sorted(r[0] for r in t.select(F.length("gram")).distinct().collect() if r[0] is not None)
         probes = keyed.withColumn("gram", F.explode(F.concat(*[_windows(F.col("low"), n) for n in sizes or [3]])))
         found = probes.join(t, "gram").filter(inside)
-    return found.select("doc_id", "idx", "source_term", "target_term")
+    return found.select("doc_id", "idx", "source_term", "target_term", *keep)
 
 
 def token_matches(rows: DataFrame, verbatim: DataFrame, terms: DataFrame, entities: DataFrame, text: str = "source") -> DataFrame:

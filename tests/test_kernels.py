@@ -125,7 +125,19 @@ def test_queries_make_each_translation_once(spark, tmp_path):
         "qa_flags": 0,
         "ab_diff": 0,
         "ab_summary": 0,
+        "glossary_violations": 0,
     }
     for name, joins in once.items():
         df = queries.QUERIES[name](spark, d)
         assert nodes(df, "SortMergeJoin") + nodes(df, "BroadcastHashJoin") + nodes(df, "ShuffledHashJoin") - (name == "tm_exact") == joins, name  # of the memory, and of the labels
+    assert len(re.findall(r"said\(", re.sub(r"pythonUDF\S*", "", plan(queries.QUERIES["glossary_violations"](spark, d))))) == 1
+
+
+def test_violations_with_and_without_a_join(spark, monkeypatch):
+    p = spark.createDataFrame([(1, 0, "the cat", "वह"), (1, 1, "The dog", "x"), (2, 0, "none", "y")], "doc_id long, idx int, source string, translated string")
+    terms = spark.createDataFrame([("the", "वह"), ("dog", "k"), ("on", "z")], "source string, target string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(qa.glossary_violations(glossary.relevant_terms(p, terms), p))
+    assert key(qa.glossary_violations(glossary.relevant_terms(p, terms, keep=("translated",)))) == want and len(want) == 3
+    monkeypatch.setattr(glossary, "SMALL", 0)
+    assert key(qa.glossary_violations(glossary.relevant_terms(p, terms, keep=("translated",)))) == want
