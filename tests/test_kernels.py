@@ -133,6 +133,29 @@ def test_queries_make_each_translation_once(spark, tmp_path):
     assert len(re.findall(r"said\(", re.sub(r"pythonUDF\S*", "", plan(queries.QUERIES["glossary_violations"](spark, d))))) == 1
 
 
+def test_lines_of_adjacent_pages_are_those_of_groups(spark, tmp_path):
+    r = random.Random(5)
+    pick = lambda *x: r.choice(x)
+    rows = [(pick(None, *range(6)), p, pick(0, 1, None), r.randint(0, 1), r.randint(0, 2), pick("a", "bé", "  c ", "", "..", "zz"), pick(None, -1.0, 10.0, 60.0, 99.0), pick(None, 1, 2, 3), r.randint(0, 9), r.randint(1, 5), pick(None, 4)) for p in [1] * 300 + [2] * 3 + [3] * 50 + [None] * 9 + [4]]
+    words = spark.createDataFrame(rows, "idx int, page int, block int, par int, line int, text string, conf double, left int, top int, width int, height int").coalesce(1)
+    want = sorted(map(str, pages.ocr_lines(words).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(str, pages.ocr_lines(words, adjacent=True).collect())) == want and len(want) > 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lines = queries.QUERIES["ocr_lines"](spark, docs(spark, tmp_path))
+    assert nodes(lines, "Exchange") == 1 and "Aggregate" not in plan(lines)
+
+
+def test_lines_of_a_page_in_several_rows(spark, tmp_path):
+    """Two documents of one number are one page, wherever their rows are."""
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "a b c"), (2, "x y"), (1, "d e")], "doc_id long, text string").repartition(3).write.parquet(f"{d}/documents.parquet")
+    one = pages.ocr_lines(queries.ocr_words(spark, d))
+    assert sorted(map(str, queries.QUERIES["ocr_lines"](spark, d).select("page", "text").collect())) == sorted(map(str, one.select("page", "text").collect()))
+
+
 def test_violations_with_and_without_a_join(spark, monkeypatch):
     p = spark.createDataFrame([(1, 0, "the cat", "वह"), (1, 1, "The dog", "x"), (2, 0, "none", "y")], "doc_id long, idx int, source string, translated string")
     terms = spark.createDataFrame([("the", "वह"), ("dog", "k"), ("on", "z")], "source string, target string")
