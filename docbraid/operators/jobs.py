@@ -47,6 +47,11 @@ def with_runs(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     return chunks.join(runs.groupBy("doc_id", "idx").agg(F.count("*").alias("attempts")), ["doc_id", "idx"], "left").withColumn("attempts", F.coalesce("attempts", F.lit(0).cast("long")))
 
 
+def with_attempts(routed: DataFrame) -> DataFrame:
+    """The same of rows that still carry their attempts: no second run of the chain, no join."""
+    return routed.select("doc_id", "idx", F.size("attempts").cast("long").alias("attempts"))
+
+
 def validated(jobs: DataFrame) -> DataFrame:
     """Defaults filled in, and problem: null for valid rows. Nothing is dropped."""
     out = jobs.withColumns({"source_language": F.coalesce("source_language", F.lit("en")), "tone": F.coalesce("tone", F.lit("FORMAL")), "mode": F.coalesce("mode", F.lit("DOCUMENT"))})

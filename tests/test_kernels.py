@@ -126,6 +126,7 @@ def test_queries_make_each_translation_once(spark, tmp_path):
         "ab_diff": 0,
         "ab_summary": 0,
         "glossary_violations": 0,
+        "chunk_runs": 0,
     }
     for name, joins in once.items():
         df = queries.QUERIES[name](spark, d)
@@ -156,6 +157,12 @@ def test_lines_of_a_page_in_several_rows(spark, tmp_path):
     assert sorted(map(str, queries.QUERIES["ocr_lines"](spark, d).select("page", "text").collect())) == sorted(map(str, one.select("page", "text").collect()))
 
 
+def test_attempts_are_those_of_the_runs(spark):
+    t = translate.translate(spark.createDataFrame([(i, "One two. " * 90) for i in range(7)], "doc_id long, text string"), "hi")
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "idx", "attempts").collect()))
+    assert key(jobs.with_attempts(t)) == key(jobs.with_runs(t.select("doc_id", "idx"), routing.engine_runs(t)))
+
+
 def test_violations_with_and_without_a_join(spark, monkeypatch):
     p = spark.createDataFrame([(1, 0, "the cat", "वह"), (1, 1, "The dog", "x"), (2, 0, "none", "y")], "doc_id long, idx int, source string, translated string")
     terms = spark.createDataFrame([("the", "वह"), ("dog", "k"), ("on", "z")], "source string, target string")
