@@ -127,6 +127,7 @@ def test_queries_make_each_translation_once(spark, tmp_path):
         "ab_summary": 0,
         "glossary_violations": 0,
         "chunk_runs": 0,
+        "tm_exact": 1,
     }
     for name, joins in once.items():
         df = queries.QUERIES[name](spark, d)
