@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docbraid.functions.kernels import mapped
 from docbraid.functions.text import FLORES
 
 Send = Callable[[str, dict], dict]
@@ -166,18 +167,30 @@ def batch_translate(sources: Column, providers: Sequence[str], send: Send, size:
 
     @F.arrow_udf(BATCHED)
     def said(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else _worked([x], size, send, providers, ("texts",), 0, retry) for x in column.to_pylist()], _BATCHED)
+        return mapped(lambda x: None if x is None else _worked([x], size, send, providers, ("texts",), 0, retry), _BATCHED, column)
 
     return said.asNondeterministic()(sources)
 
 
-def post_edit(sources: Column, drafts: Column, providers: Sequence[str], send: Send, size: int = 64, retry: Retry = Retry()) -> Column:
-    """BATCHED: drafts refined in batches; where that fails the draft stays."""
+def post_edit(sources: Column, drafts: Column | Callable[[str], str], providers: Sequence[str], send: Send, size: int = 64, retry: Retry = Retry()) -> Column:
+    """BATCHED: drafts refined in batches; where that fails the draft stays.
+
+    Drafts that are a function of a source text are made beside the call, so
+    that neither they nor sources made in Python are held in a second worker.
+    """
+    edit = lambda s, t: None if s is None or t is None else _worked([s, t], size, send, providers, ("texts", "drafts"), 1, retry)
+
+    if not isinstance(drafts, Column):
+
+        @F.arrow_udf(BATCHED)
+        def drafted(column: pa.Array) -> pa.Array:
+            return mapped(lambda s: edit(s, s and [None if x is None else drafts(x) for x in s]), _BATCHED, column)
+
+        return drafted.asNondeterministic()(sources)
 
     @F.arrow_udf(BATCHED)
     def refined(column: pa.Array, made: pa.Array) -> pa.Array:
-        rows = zip(column.to_pylist(), made.to_pylist(), strict=True)
-        return pa.array([None if s is None or t is None else _worked([s, t], size, send, providers, ("texts", "drafts"), 1, retry) for s, t in rows], _BATCHED)
+        return mapped(edit, _BATCHED, column, made)
 
     return refined.asNondeterministic()(sources, drafts)
 

@@ -1,5 +1,6 @@
 """The kernels of the text functions against plain definitions, and plans that do each step once."""
 
+import json
 import random
 import re
 
@@ -93,6 +94,29 @@ def test_a_slice_of_a_batch_is_python_at_a_time(monkeypatch):
     assert seen == [3, 3, 3, 3, 2, 2] and len(kernels.mapped(lambda a: a, pa.int64(), pa.array([], pa.int64()))) == 0
 
 
+def test_services_work_in_slices(monkeypatch):
+    """Of a batch of documents, the service's texts and replies of one slice are held at a time."""
+    held = []
+    made = engines.post_edit.__globals__["mapped"]
+    assert made is kernels.mapped
+    monkeypatch.setattr(kernels, "SLICE", 2)
+    monkeypatch.setattr(kernels, "texts", lambda c: held.append(len(c)) or c.to_pylist())
+    made(lambda s, t: engines._worked([s, t], 9, lambda service, p: {"text": "[]"}, ("E",), ("texts", "drafts"), 1, engines.Retry()), engines._BATCHED, *[pa.array([["a"]] * 5)] * 2)
+    assert max(held) == 2
+
+
+def test_drafts_are_made_beside_the_call(spark):
+    """One Python step cuts the texts, drafts and edits; null and empty lists stay."""
+    send = lambda service, p: {"text": json.dumps([f"{service}{a}{b}" for a, b in zip(p["texts"], p["drafts"])])}
+    rows = spark.createDataFrame([(1, ["x", "y", "z"]), (2, []), (3, None)], "doc_id long, s array<string>")
+    both = [engines.post_edit(F.col("s"), d, ("E",), send, 2).alias("e") for d in (lambda s: f"…{s}", F.transform("s", lambda s: F.concat(F.lit("…"), s)))]
+    one, two = [[r.e and [x.text for x in r.e] for r in rows.select("doc_id", e).orderBy("doc_id").collect()] for e in both]
+    assert one == two and one[0] == ["Ex…x", "Ey…y", "Ez…z"]
+    documents = spark.createDataFrame([(1, "One. Two.")], "doc_id long, text string")
+    edited = documents.select("doc_id", engines.post_edit(split.units(F.col("text")), lambda s: f"…{s}", ("E",), send).alias("e"))
+    assert nodes(edited, "ArrowEvalPython") == 1 and edited.first().e[0].text == "EOne. Two.…One. Two."
+
+
 def test_lost_items_are_those_of_the_arrays(spark):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([("1 2 2 3,4% [5]", "२ 1"), ("Figure 2 and [1, 2] [1, 2]", "Table 2"), ("none", "9"), ("7", None), (None, "7"), ("٣ ३ 3", "३"), ("[1] Table 3", "[1]")])], "id int, s string, t string")
     s, t = F.col("s"), F.col("t")
